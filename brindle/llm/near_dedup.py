@@ -147,7 +147,8 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
             n = np.diff(begin)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(piece.column(0)), n)), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["doc_id", "n", "s"])
 
-    own = texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    # dealt evenly, as each text becomes as many rows as it has shingles
+    own = texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     maps = scratch.save(own.mapInArrow(bits, "doc_id long, " + ", ".join(f"p{i} long" for i in range(BITMAP))), "bits")
     rows = scratch.save(own.mapInArrow(run, "doc_id long, n long, s long").join(members, "doc_id"), "rows")
     shared = scratch.save(rows.groupBy("s").agg(F.count("*").alias("f"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.max("weight").alias("w")).where("f > 1"), "shared")
