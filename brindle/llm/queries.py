@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import bpe, near_dedup, quality, toxicity
+from .labelled import remainder
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +21,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.NearDuplicates(width=4))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def _judged(scores: DataFrame, divisor: int, held: int) -> DataFrame:
+    return scores.select("doc_id", (remainder("doc_id", divisor) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels whose remainder by 5 isn't 0."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(documents, labels.where(remainder("doc_id", 5) != 0))
+    return _judged(toxicity.score(documents, model), 5, 0)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of all documents, and of the bytes that they decode to."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+    back = bpe.decode(ids, VOCABULARY, public_tokenizers.PATTERN, keep=("n_tokens", "ids"))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels whose remainder by 3 isn't 1."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels.where(remainder("doc_id", 3) != 1))
+    return _judged(quality.score(documents, model), 3, 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op5_byte_bpe, op6_quality)}
 ORACLE: dict[str, str] = {}
