@@ -260,11 +260,11 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
 
     def run(batches):
         bpe = coder(path, pattern)
-        for piece, data, offsets in tk.text_chunks(batches, "ids"):
+        for piece, data, offsets in tk.text_chunks(batches, "_ids"):
             if (np.diff(offsets) % 4).any():
                 raise ValueError("ids must hold 4 bytes a token")
             out, sizes = bpe.decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64))
             total = np.concatenate(([0], np.cumsum(sizes)))[offsets // 4]
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kinds))), _binary(out, np.diff(total))], names=[*kinds, "decoded"])
 
-    return df.select(*kinds, F.col(ids).alias("ids")).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", decoded binary")
+    return df.select(*kinds, F.col(ids).alias("_ids")).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", decoded binary")
