@@ -233,24 +233,24 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens long, ids binary) for each row: token ids as little-endian unsigned 32-bit numbers.
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, the columns in keep, n_tokens long, ids binary) for each row: token ids as little-endian unsigned 32-bit numbers.
 
     A null text counts as empty and has no ids; bytes that aren't UTF-8 become U+FFFD.
     Other columns are ignored, repeated rows are each encoded, an empty df gives no rows.
     The vocabulary file must lie at path on every executor.
     """
     ship(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
 
     def run(batches):
         bpe = coder(path, pattern)
-        for piece, data, offsets in tk.text_chunks(batches):
+        for piece, data, offsets in tk.text_chunks(batches, "_text"):
             raw = data.tobytes()
             ids, counts = bpe.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(counts), _binary(ids.astype("<u4").view(np.uint8), 4 * counts)], names=[key, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kinds))), pa.array(counts), _binary(ids.astype("<u4").view(np.uint8), 4 * counts)], names=[*kinds, "n_tokens", "ids"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids binary")
+    return df.select(*kinds, F.col(text).cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -29,16 +29,31 @@ from . import textkernel as tk
 from .util import Scratch, components, semi_join
 
 
+LANES, LANE_BITS = 9, 7
+BITMAP = 16  # numbers of 64 bits
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
-    """similarity is percent of the union; lists longer than long are taken the exact way."""
+    """Shingles of width words; links at percent of the union.
+
+    Sets are posted under coordinates / rows keys, each of rows coordinates together (bands
+    if that is over 1). Candidates share matches keys or more, and agree in agreeing lanes
+    or more. Lists longer than long are taken the exact way.
+    """
 
     width: int = 5
     percent: int = 80
     coordinates: int = 36
+    rows: int = 1
     matches: int = 14
+    agreeing: int = 14
     long: int = 64
 
+    def __post_init__(self):
+        if self.coordinates % LANES or self.coordinates % self.rows:
+            raise ValueError(f"coordinates must be a multiple of {LANES} and of rows")
+
     def sets(self, batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for piece, data, offsets in tk.text_chunks(batches):
             starts, ends, first = tk.spans(data, offsets)
@@ -46,16 +61,12 @@ class NearDuplicates:
             yield piece, values, begin
 
 
-LANES, LANE_BITS = 9, 7
-BITMAP = 16  # numbers of 64 bits
 _LOW = sum(0x3F << (LANE_BITS * i) for i in range(LANES))
 _HIGH = sum(0x40 << (LANE_BITS * i) for i in range(LANES))
 
 
 def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
     words = p.coordinates // LANES
-    if words * LANES != p.coordinates:
-        raise ValueError(f"coordinates must be a multiple of {LANES}")
     schema = "doc_id long, n_shingles long, set_hash long, set_check long, keys array<long>, lanes array<long>"
 
     def run(batches):
@@ -64,6 +75,9 @@ def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
             n = np.diff(begin)
             some = n > 0
             sig = tk.mix(tk.signatures(values, begin, p.coordinates) ^ salt)
+            keys = np.zeros((len(n), p.coordinates // p.rows), np.uint64)
+            for k in range(p.rows):
+                keys = tk.mix(keys + sig[:, k :: p.rows])
             # two sums that don't depend on order identify a set
             h = np.zeros((2, len(n)), np.uint64)
             for i in (0, 1):
@@ -74,7 +88,7 @@ def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
                 lanes[:, k // LANES] |= ((sig[:, k] >> np.uint64(40)) & np.uint64(127)) << np.uint64(LANE_BITS * (k % LANES))
             rows = lambda m, w: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, w, dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64), mask=~some), pa.array(h[1].view(np.int64), mask=~some), rows(sig, p.coordinates), rows(lanes, words)],
+                [piece.column(0), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64), mask=~some), pa.array(h[1].view(np.int64), mask=~some), rows(keys, keys.shape[1]), rows(lanes, words)],
                 names=["doc_id", "n_shingles", "set_hash", "set_check", "keys", "lanes"],
             )
 
@@ -181,8 +195,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     component_id is the smallest doc_id reachable over links; kept says that it is the
     row's own. An empty df gives no rows.
     """
-    spark = df.sparkSession
-    scratch = scratch or Scratch(spark, "near")
+    scratch = scratch or Scratch(df.sparkSession, "near")
     words, T = p.coordinates // LANES, p.matches
     signed = scratch.save(_signed(df, p), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
@@ -208,7 +221,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     prefix = postings.where(f"rank >= {T}").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc"))
     prefix = scratch.save(prefix.join(lanes, "doc").select("doc", "n", "key", "len", "class", *(f"l{i}" for i in range(words))), "prefix")
     short = prefix.where(f"len <= {p.long}")
-    cond = F.expr(f"a.key = b.key and a.doc < b.doc and a.class <> b.class and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)") & (_agreeing(words) >= T)
+    cond = F.expr(f"a.key = b.key and a.doc < b.doc and a.class <> b.class and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)") & (_agreeing(words) >= p.agreeing)
     pairs = short.alias("a").join(short.alias("b"), cond).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     inside = scratch.save(prefix.where(f"len > {p.long}").select(F.col("doc").alias("doc_id"), "class").distinct(), "inside")
     if inside.head(1):

@@ -199,3 +199,19 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sent.value.scores(data, offsets))], names=[key, "score"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
+
+
+def keep(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of df whose text scores least or more, with all their columns."""
+    ship(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            flat = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
+            good = [sent.value.scores(data, offsets) >= least for _, data, offsets in tk.text_chunks([flat])]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return df.mapInArrow(run, df.schema)

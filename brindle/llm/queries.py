@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality, toxicity
+from . import bpe, decontaminate, near_dedup, quality, sharding, substring, topk, toxicity
 from .labelled import remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,5 +46,76 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(documents, model), 3, 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op5_byte_bpe, op6_quality)}
-ORACLE: dict[str, str] = {}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item of which it holds 80 percent."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of each vector whose id is divisible by 50, against all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 16 shards by a keyed permutation of their row numbers."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of 20 words or more that repeats in all documents, with its cluster."""
+    return substring.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op3_toxicity,
+        op5_byte_bpe,
+        op6_quality,
+        op7_decontamination,
+        op8_exact_top_k,
+        op9_sharding,
+        op10_substring_dedup,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), item_shingles AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS width, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM i WHERE len(w) > 0)
+), document_shingles AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[k : k + width - 1], ' ') AS g
+  FROM (SELECT doc_id, w, width, unnest(generate_series(1, len(w) - width + 1)) AS k
+        FROM d, (SELECT DISTINCT width FROM item_shingles) WHERE len(w) >= width)
+), sizes AS (
+  SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id
+), found AS (
+  SELECT doc_id, item_id, count(*) AS hits
+  FROM item_shingles JOIN document_shingles USING (width, g) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n AS n_shingles, hits, hits / n AS containment
+FROM found JOIN sizes USING (item_id) WHERE 100 * hits >= 80 * n
+""",
+    "op8_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+""",
+}

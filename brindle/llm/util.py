@@ -120,25 +120,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def number_rows(df: DataFrame, order: list[str], scratch: Scratch, name: str = "row", partitions: int | None = None) -> DataFrame:
-    """df with the global number of each row, from 0 without gaps, in the order of the columns given (nulls first).
+def number_rows(df: DataFrame, order: list[str], scratch: Scratch, name: str = "row") -> tuple[DataFrame, int]:
+    """(df with the global number of each row, from 0 without gaps, in the order of the columns given; number of rows).
 
-    Sorts by ranges; the number is a row's place in its range plus the rows of all ranges
-    before. Rows equal in all of order are interchangeable, and ranges may cut between them.
-    Only one count for each range is ever put into one task.
+    Nulls come first. Sorts by ranges; a number is a row's place in its range plus the rows
+    of all ranges before. Rows equal in all of order are interchangeable, and ranges may cut
+    between them. Only one count for each range is ever put into one task.
     """
-    spread = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
     by = [*(F.col(c) for c in order), F.col("_tie")]
-    ranged = spread.repartitionByRange(partitions, *by) if partitions else spread.repartitionByRange(*by)
-    path = scratch.write(ranged.withColumn("_part", F.spark_partition_id()).drop("_range"), "ranged")
-    ranged = scratch.spark.read.parquet(path)
+    ranged = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by)
+    # the id is the range's number, times 2^33, plus the row's place in it; written, it stays as it is
+    ranged = scratch.save(ranged.withColumn("_id", F.monotonically_increasing_id()).drop("_tie"), "ranged").withColumn("_part", F.shiftright("_id", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_part").orderBy(*by)
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # one row for each range (thousands at most), so it is broadcast
-    return (
-        ranged.withColumn("_at", F.row_number().over(within))
-        .join(F.broadcast(starts), "_part")
-        .withColumn(name, (F.col("_before") + F.col("_at") - 1).cast("long"))
-        .drop("_part", "_tie", "_at", "_before")
-    )
+    out = ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_part", "_id", "_before"), ranged.count()
