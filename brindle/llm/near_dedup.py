@@ -139,49 +139,51 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFra
 
 
 def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
-    """Pairs of different classes among members (doc_id, class, weight), by an exact prefix join over all their shingles.
-
-    Shingles are ordered by how many members have them. Of an indexed set only the first
-    n - ceil(2s/(1+s) n) + 1 can be the first one shared with an equal or larger set, of a
-    probing set the first n - ceil(s n) + 1. What a set shares with any other is at most
-    its shingles that some other member has; and two sets differ in at least as many
-    shingles as their parity bitmaps differ in bits.
+    """Pairs of different classes among members (doc_id, class, weight, n), by an exact prefix join over their shingles.
+
+    What a set shares with any other is at most m, its shingles that some other member has:
+    sets with less than the bound in common with anything go first. The others are posted
+    under their smallest shingle hashes. Of an indexed set only the first n - ceil(2s/(1+s) n)
+    + 1 can be the first one shared with an equal or larger set, of a probing set the first
+    n - ceil(s n) + 1. Pairs that meet must still pass the bounds from sizes, from m, and
+    from parity bitmaps: two sets differ in at least as many shingles as bits.
     """
+    own = scratch.save(texts.select("doc_id", "text").join(members, "doc_id"), "own")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def bits(batches):
+    def all_shingles(batches):
         for piece, values, begin in p.sets(batches):
-            count = np.zeros((len(begin) - 1, 64 * BITMAP), np.int64)
-            rows = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-            np.add.at(count, (rows, (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
-            packed = np.packbits((count & 1).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(packed[:, i].copy()) for i in range(BITMAP))], names=["doc_id", *(f"p{i}" for i in range(BITMAP))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(piece.column(0)), np.diff(begin))), pa.array(values.view(np.int64))], names=["doc_id", "s"])
 
-    def run(batches):
+    def prefixes(batches):
         for piece, values, begin in p.sets(batches):
             n = np.diff(begin)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(piece.column(0)), n)), pa.array(np.repeat(n, n)), pa.array(values.view(np.int64))], names=["doc_id", "n", "s"])
+            count = np.zeros((len(n), 64 * BITMAP), np.int64)
+            np.add.at(count, (np.repeat(np.arange(len(n)), n), (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
+            bits = np.packbits((count & 1).astype(np.uint8), axis=1).view(np.int64)
+            probe, index = (n - -(-x * n // y) + 1 for x, y in ((p.percent, 100), (2 * p.percent, 100 + p.percent)))
+            rows = np.repeat(np.arange(len(n)), probe)
+            r = np.arange(len(rows)) - np.repeat(np.cumsum(probe) - probe, probe)
+            columns = [c.take(pa.array(rows)) for c in piece.select(["doc_id", "class", "weight", "m"]).columns]
+            more = [n[rows], values[begin[:-1][rows] + r].view(np.int64), *(bits[rows, i] for i in range(BITMAP))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(r < index[rows]), *map(pa.array, more)], names=names)
 
     # dealt evenly, as each text becomes as many rows as it has shingles
-    own = texts.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    maps = scratch.save(own.mapInArrow(bits, "doc_id long, " + ", ".join(f"p{i} long" for i in range(BITMAP))), "bits")
-    rows = scratch.save(own.mapInArrow(run, "doc_id long, n long, s long").join(members, "doc_id"), "rows")
-    shared = scratch.save(rows.groupBy("s").agg(F.count("*").alias("f"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.max("weight").alias("w")).where("f > 1"), "shared")
-    known = rows.join(shared, "s").select("doc_id", "n", "s", "class", "weight", "f", "w", (F.col("c0") != F.col("c1")).alias("mixed"))
-    doc = Window.partitionBy("doc_id")
-    ranked = (
-        known.withColumn("m", F.count("*").over(doc))  # at most so many are shared with any other set
-        .withColumn("r", F.col("n") - F.col("m") + F.row_number().over(doc.orderBy("f", "s")))
-        .withColumn("probe", F.expr(f"r <= n - cast(ceil({p.percent} * n / 100) as long) + 1"))
-        .withColumn("index", F.expr(f"r <= n - cast(ceil({2 * p.percent} * n / {100 + p.percent}) as long) + 1"))
-        .where("probe and mixed")
-    )
-    ranked = scratch.save(scratch.save(ranked, "ranked").join(maps, "doc_id"), "ranked")
-    a, b = ranked.alias("a"), ranked.where("index").alias("b")
+    alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(all_shingles, "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    known = own.join(scratch.save(alone, "alone"), "doc_id", "left")
+    known = known.withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * m >= {p.percent} * n")
+    names = ["doc_id", "class", "weight", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
+    kinds = "doc_id long, class long, weight long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
+    rows = scratch.save(known.select("doc_id", "text", "class", "weight", "m").repartition(tasks).mapInArrow(prefixes, kinds), "rows")
+    heaviest = scratch.save(rows.groupBy("s").agg(F.count("*").alias("f"), F.max("weight").alias("w"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("f > 1 and c0 <> c1").select("s", "w"), "heaviest")
+    rows = scratch.save(rows.join(heaviest, "s"), "met")
+    a, b = rows.alias("a"), rows.where("index").alias("b")
     # a shingle's heaviest class isn't joined with itself: one side or the other lies outside it
     outer = "(a.weight <> a.w or b.weight <> b.w)"
-    both = "least(a.m, b.m)"
+    sizes = f"(a.n > b.n or a.n = b.n and a.doc_id <> b.doc_id) and 100 * b.n >= {p.percent} * a.n"
     apart = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(BITMAP))
-    cond = F.expr(f"a.s = b.s and a.class <> b.class and (a.n > b.n or a.n = b.n and a.doc_id <> b.doc_id) and 100 * b.n >= {p.percent} * a.n and {outer} and {100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)") & _fits(p, both, "a.n", "b.n")
+    near = f"{100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)"
+    cond = F.expr(f"a.s = b.s and a.class <> b.class and {outer} and {sizes}") & _fits(p, "least(a.m, b.m)", "a.n", "b.n") & F.expr(near)
     return a.join(b, cond).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
 
 
@@ -223,12 +225,12 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     short = prefix.where(f"len <= {p.long}")
     cond = F.expr(f"a.key = b.key and a.doc < b.doc and a.class <> b.class and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)") & (_agreeing(words) >= p.agreeing)
     pairs = short.alias("a").join(short.alias("b"), cond).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
-    inside = scratch.save(prefix.where(f"len > {p.long}").select(F.col("doc").alias("doc_id"), "class").distinct(), "inside")
+    inside = scratch.save(prefix.where(f"len > {p.long}").select(F.col("doc").alias("doc_id"), "class", "n").distinct(), "inside")
     if inside.head(1):
-        weight = inside.groupBy("class").agg((F.count("*") * (1 << 40)).alias("n"), F.min("class").alias("c"))
+        weight = inside.groupBy("class").agg((F.count("*") * (1 << 40)).alias("size"), F.min("class").alias("c"))
         # sizes, made different from each other by a hash of the class
-        weight = scratch.save(weight.select("class", (F.col("n") + F.pmod(F.xxhash64("c"), F.lit(1 << 40))).alias("weight")), "weight")
-        members = scratch.save(inside.join(weight, "class").select("doc_id", "class", "weight"), "members")
+        weight = scratch.save(weight.select("class", (F.col("size") + F.pmod(F.xxhash64("c"), F.lit(1 << 40))).alias("weight")), "weight")
+        members = scratch.save(inside.join(weight, "class").select("doc_id", "class", "weight", "n"), "members")
         pairs = pairs.union(_long_list_pairs(members, texts, p, scratch)).distinct()
     more = scratch.save(_confirmed(scratch.save(pairs, "pairs"), texts, p), "more")
     final = scratch.save(components(links.union(more), scratch), "components") if more.head(1) else classes
