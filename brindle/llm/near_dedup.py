@@ -1,11 +1,11 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 Every distinct shingle set is posted under each of its K (coordinate, value) pairs. A pair
-of sets that meets the similarity bound agrees on at least T of K coordinates (for K = 36,
-T = 14 and a similarity of 0.8, all but one pair in 10^8). Hence, with each set's
+of sets that meets the similarity bound agrees on at least T of K coordinates (for K = 35,
+T = 13 and a similarity of 0.8, all but one pair in 10^8). Hence, with each set's
 coordinates in order of list length, two such sets share one of their K-T+1 rarest
 coordinates (the prefix); the T-1 longest lists of a set are skipped, and are only probed
-through 7-bit lanes of the signature that travel with each posting. Pairs with T or more
+through 9-bit lanes of the signature that travel with each posting. Pairs with T or more
 agreeing lanes are confirmed on their full shingle sets.
 
 Very long lists are never paired with themselves. First each set meets only the most
@@ -29,7 +29,7 @@ from . import textkernel as tk
 from .util import Scratch, components, semi_join
 
 
-LANES, LANE_BITS = 9, 7
+LANES, LANE_BITS = 7, 9
 BITMAP = 16  # numbers of 64 bits
 
 
@@ -44,10 +44,10 @@ class NearDuplicates:
 
     width: int = 5
     percent: int = 80
-    coordinates: int = 36
+    coordinates: int = 35
     rows: int = 1
-    matches: int = 14
-    agreeing: int = 14
+    matches: int = 13
+    agreeing: int = 13
     long: int = 64
 
     def __post_init__(self):
@@ -61,8 +61,8 @@ class NearDuplicates:
             yield piece, values, begin
 
 
-_LOW = sum(0x3F << (LANE_BITS * i) for i in range(LANES))
-_HIGH = sum(0x40 << (LANE_BITS * i) for i in range(LANES))
+_LOW = sum(0xFF << (LANE_BITS * i) for i in range(LANES))
+_HIGH = sum(0x100 << (LANE_BITS * i) for i in range(LANES))
 
 
 def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -85,7 +85,7 @@ def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
                     h[i, some] = np.add.reduceat(tk.mix(values ^ salt[i]), begin[:-1][some])
             lanes = np.zeros((len(n), words), np.uint64)
             for k in range(p.coordinates):
-                lanes[:, k // LANES] |= ((sig[:, k] >> np.uint64(40)) & np.uint64(127)) << np.uint64(LANE_BITS * (k % LANES))
+                lanes[:, k // LANES] |= ((sig[:, k] >> np.uint64(40)) & np.uint64(511)) << np.uint64(LANE_BITS * (k % LANES))
             rows = lambda m, w: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, w, dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64), mask=~some), pa.array(h[1].view(np.int64), mask=~some), rows(keys, keys.shape[1]), rows(lanes, words)],
@@ -201,9 +201,13 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     words, T = p.coordinates // LANES, p.matches
     signed = scratch.save(_signed(df, p), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    sets = scratch.save(known.groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("lanes").alias("lanes")), "sets")
+    reps = scratch.save(known.groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
+    # one row of signed for each set; rows that repeat it are equal in all that counts
+    sets = known.join(reps, (known["set_hash"] == reps["set_hash"]) & (known["set_check"] == reps["set_check"]) & (known["doc_id"] == reps["rep"]), "left_semi").withColumnRenamed("doc_id", "rep")
+    repeats = _repeats(signed)
+    sets = scratch.save(sets.dropDuplicates(["rep", "set_hash", "set_check"]) if repeats else sets, "sets")
 
-    posted = sets.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    posted = sets.select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
     lists = scratch.save(posted.groupBy("key").agg(F.count("*").alias("len")).where("len > 1"), "lists")
     doc = Window.partitionBy("doc")
     # rank 1 is the longest list; a set in fewer than T shared lists agrees with none on T coordinates
@@ -211,7 +215,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     postings = scratch.save(postings.drop("shared"), "postings")
     eligible = scratch.save(postings.where("rank = 1").select(F.col("doc").alias("doc_id")), "eligible")
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = scratch.save(semi_join(source, eligible, "doc_id").dropDuplicates(["doc_id"]) if _repeats(signed) else semi_join(source, eligible, "doc_id"), "texts")
+    texts = scratch.save(semi_join(source, eligible, "doc_id").dropDuplicates(["doc_id"]) if repeats else semi_join(source, eligible, "doc_id"), "texts")
 
     hubs = scratch.save(postings.groupBy("key").agg(F.max_by("doc", F.struct("score", F.negative("doc"))).alias("hub")), "hubs")
     met = postings.join(hubs, "key").where("doc <> hub").groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.count("*").alias("c")).where(f"c >= {T}").select("a", "b")
@@ -219,7 +223,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     classes = scratch.save(components(links, scratch), "classes")
 
     # from here on only pairs of different classes count
-    lanes = sets.select(F.col("rep").alias("doc"), *(F.col("lanes")[i].alias(f"l{i}") for i in range(words)))
+    lanes = sets.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), *(F.col("lanes")[i].alias(f"l{i}") for i in range(words)))
     prefix = postings.where(f"rank >= {T}").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc"))
     prefix = scratch.save(prefix.join(lanes, "doc").select("doc", "n", "key", "len", "class", *(f"l{i}" for i in range(words))), "prefix")
     short = prefix.where(f"len <= {p.long}")

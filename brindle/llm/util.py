@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows of one long each up to which a set of ids may be broadcast (about 16 MB); above, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _made: list[tuple[SparkSession, str]] = []
 _local = None
 _shipped: set[str] = set()
@@ -32,6 +34,9 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     z.write(f"{d}/{name}", os.path.relpath(f"{d}/{name}", os.path.dirname(top)))
     sc.addPyFile(path)
+    # Arrow batches of 64 MB, in the JVM and again in Python, are too much for small executors
+    if spark.conf.get(BATCH_BYTES, None) in (None, "67108864b", "64m"):
+        spark.conf.set(BATCH_BYTES, "8m")
     _shipped.add(sc.applicationId)
 
 
@@ -64,7 +69,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str = "t") -> str:
         self.n += 1
         path = f"{self.path}/{self.n}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return path
 
     def drop(self, name_or_path: str) -> None:
