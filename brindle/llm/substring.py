@@ -28,7 +28,7 @@ class Settings:
     min_words: int = 20
     width: int = 5
     percent: int = 80
-    rows: int = 3
+    rows: int = 2
     miss: float = 1e-6
 
     @property
@@ -60,7 +60,7 @@ def repeated_paragraphs(df: DataFrame, s: Settings = Settings(), scratch: Scratc
     """
     scratch = scratch or Scratch(df.sparkSession, "substring")
     parts = paragraphs(df, s, scratch)
-    settings = NearDuplicates(width=s.width, percent=s.percent, coordinates=s.bands * s.rows, rows=s.rows, matches=1, agreeing=s.bands * s.rows // 2)
+    settings = NearDuplicates(width=s.width, percent=s.percent, coordinates=s.bands * s.rows, rows=s.rows, matches=1, agreeing=s.bands * s.rows // 3)
     found = near_duplicates(parts.select(F.col("id").alias("doc_id"), "text"), settings, scratch).select(F.col("doc_id").alias("id"), F.col("component_id").alias("cluster"))
     found = scratch.save(found.where("cluster is not null"), "found")
     named = scratch.save(found.join(parts.select("id", "doc_id", "paragraph"), "id"), "named")
