@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality, sharding, substring, topk, toxicity
+from . import bpe, chat, decontaminate, near_dedup, quality, sharding, substring, tokenfiles, topk, toxicity
 from .labelled import remainder
+from .util import Scratch
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -32,6 +33,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(documents, model), 5, 0)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 512 ids in 64 shards in the shared folder; a row for each sequence."""
+    scratch = Scratch(spark, "tokens")
+    settings = tokenfiles.Settings(VOCABULARY, public_tokenizers.PATTERN)
+    return tokenfiles.write(table(spark, sf_dir, "documents"), f"{scratch.path}/shards", settings, scratch)
+
+
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the side of each participant; spans as text, begin-end by commas."""
+    out = chat.rotations(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["begin"], x["end"])), ",")
+    return out.withColumn("train_spans", spans).drop("spans")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of all documents, and of the bytes that they decode to."""
     ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
@@ -71,7 +86,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_token_files,
         op3_toxicity,
+        op4_chat_rotation,
         op5_byte_bpe,
         op6_quality,
         op7_decontamination,
@@ -81,6 +98,27 @@ QUERIES = {
     )
 }
 ORACLE: dict[str, str] = {
+    "op4_chat_rotation": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t
+), p AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
+), s AS (
+  SELECT conv_id, speaker, n.pos // 64 AS part, n.pos, text, role,
+    CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+         ELSE '<|user:' || role || '|>' || chr(10) END AS head
+  FROM n JOIN p USING (conv_id)
+), e AS (
+  SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM s
+)
+SELECT conv_id, speaker, CAST(part AS INTEGER) AS part, count(*) AS n_turns,
+  string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) AS text,
+  coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(text) - 8)::VARCHAR || '-' || stop::VARCHAR END, ',' ORDER BY pos), '') AS train_spans
+FROM e GROUP BY conv_id, speaker, part
+""",
     "op7_decontamination": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
