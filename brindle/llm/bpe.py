@@ -22,8 +22,8 @@ from . import textkernel as tk
 from .util import ship
 
 LONG = 256
-#: Pieces that a worker keeps; beyond, it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces that a task keeps; beyond, it starts anew.
+KEPT_PIECES = 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -233,24 +233,37 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _ids(bpe: ByteBPE, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    raw = data.tobytes()
+    return bpe.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+
+
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
     """(key, the columns in keep, n_tokens long, ids binary) for each row: token ids as little-endian unsigned 32-bit numbers.
 
+    With check there is a column decoded (binary) as well: the ids decoded again, in the
+    same pass.
+
     A null text counts as empty and has no ids; bytes that aren't UTF-8 become U+FFFD.
     Other columns are ignored, repeated rows are each encoded, an empty df gives no rows.
     The vocabulary file must lie at path on every executor.
     """
     ship(df.sparkSession)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
+    names = [*kinds, "n_tokens", "ids", *["decoded"] * check]
 
     def run(batches):
         bpe = coder(path, pattern)
         for piece, data, offsets in tk.text_chunks(batches, "_text"):
-            raw = data.tobytes()
-            ids, counts = bpe.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kinds))), pa.array(counts), _binary(ids.astype("<u4").view(np.uint8), 4 * counts)], names=[*kinds, "n_tokens", "ids"])
+            ids, counts = _ids(bpe, data, offsets)
+            columns = [*(piece.column(i) for i in range(len(kinds))), pa.array(counts), _binary(ids.astype("<u4").view(np.uint8), 4 * counts)]
+            if check:
+                out, sizes = bpe.decode(ids)
+                columns.append(_binary(out, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe._forget()
 
-    return df.select(*kinds, F.col(text).cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n_tokens long, ids binary")
+    return df.select(*kinds, F.col(text).cast("string").alias("_text")).mapInArrow(tk.tidy(run), ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", n_tokens long, ids binary" + ", decoded binary" * check)
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -267,4 +280,4 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
             total = np.concatenate(([0], np.cumsum(sizes)))[offsets // 4]
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kinds))), _binary(out, np.diff(total))], names=[*kinds, "decoded"])
 
-    return df.select(*kinds, F.col(ids).alias("_ids")).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", decoded binary")
+    return df.select(*kinds, F.col(ids).alias("_ids")).mapInArrow(tk.tidy(run), ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", decoded binary")

@@ -92,7 +92,7 @@ def _signed(df: DataFrame, p: NearDuplicates) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_hash", "set_check", "keys", "lanes"],
             )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), schema)
 
 
 def _agreeing(words: int):
@@ -135,7 +135,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFra
                     keep[i] = both > 0 and 100 * both >= p.percent * (len(u) + len(v) - both)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(tk.tidy(run), "a long, b long")
 
 
 def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
@@ -169,12 +169,12 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
             yield pa.RecordBatch.from_arrays([*columns, pa.array(r < index[rows]), *map(pa.array, more)], names=names)
 
     # dealt evenly, as each text becomes as many rows as it has shingles
-    alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(all_shingles, "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+    alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(tk.tidy(all_shingles), "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
     known = own.join(scratch.save(alone, "alone"), "doc_id", "left")
     known = known.withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * m >= {p.percent} * n")
     names = ["doc_id", "class", "weight", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
     kinds = "doc_id long, class long, weight long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
-    rows = scratch.save(known.select("doc_id", "text", "class", "weight", "m").repartition(tasks).mapInArrow(prefixes, kinds), "rows")
+    rows = scratch.save(known.select("doc_id", "text", "class", "weight", "m").repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
     heaviest = scratch.save(rows.groupBy("s").agg(F.count("*").alias("f"), F.max("weight").alias("w"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("f > 1 and c0 <> c1").select("s", "w"), "heaviest")
     rows = scratch.save(rows.join(heaviest, "s"), "met")
     a, b = rows.alias("a"), rows.where("index").alias("b")

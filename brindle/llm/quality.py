@@ -177,7 +177,7 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", s: Settings
             found, begin = features(data, offsets, bits)
             yield pa.RecordBatch.from_arrays([pa.array([found[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary()), piece.column(1)], names=["f", "y"])
 
-    rows = sample(df, labels, label, s.rows).mapInArrow(run, "f binary, y int").collect()
+    rows = sample(df, labels, label, s.rows).mapInArrow(tk.tidy(run), "f binary, y int").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.f)))  # whatever order the rows came in, the model is the same
     y = np.array([r.y for r in rows], np.int64)
     weights, slope, offset = fit([np.frombuffer(r.f, np.int32) for r in rows], y, s)
@@ -198,7 +198,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         for piece, data, offsets in tk.text_chunks(batches):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sent.value.scores(data, offsets))], names=[key, "score"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(tk.tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
 
 
 def keep(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -214,4 +214,4 @@ def keep(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") ->
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tk.tidy(run), df.schema)

@@ -7,6 +7,9 @@ character.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,6 +29,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back to the system after each partition.
+
+    Python workers outlive their tasks; what their allocators keep would add up beside the
+    executor's heap.
+    """
+
+    @functools.wraps(run)
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library, which has its own ways
+
+    return go
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1
@@ -153,7 +177,7 @@ def signatures(values: np.ndarray, begin: np.ndarray, size: int, seed: int = 7)
     return out
 
 
-def text_chunks(batches, text: str = "text", limit: int = 2 << 20):
+def text_chunks(batches, text: str = "text", limit: int = 1 << 20):
     """Cuts record batches into pieces of about limit bytes of text; yields (piece, bytes, offsets)."""
     for batch in batches:
         if not batch.num_rows:

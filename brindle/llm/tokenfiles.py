@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .sharding import with_place
 from .util import Scratch
 
@@ -105,7 +106,7 @@ def write(df: DataFrame, folder: str, s: Settings, scratch: Scratch | None = Non
         n = sum(len(encode(x.as_py() or "")) // s.length + 1 for batch in batches for x in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
-    counts = scratch.save(rows.select("_text").mapInArrow(counted, "part long, n long"), "counts").collect()  # a row for each partition
+    counts = scratch.save(rows.select("_text").mapInArrow(tk.tidy(counted), "part long, n long"), "counts").collect()  # a row for each partition
     counts = dict(sorted((r.part, r.n) for r in counts))
     total = sum(counts.values())
     if not total:
@@ -137,7 +138,7 @@ def write(df: DataFrame, folder: str, s: Settings, scratch: Scratch | None = Non
         if number != starts.get(part, 0) + counts.get(part, 0):
             raise RuntimeError("the input has changed between two readings; write it to a table first")
 
-    placed = with_place(rows.mapInArrow(numbered, f"`{key}` {kind}, sequence int, n_tokens int, _number long, ids binary"), "_number", total, s.seed, "slot").drop("_number")
+    placed = with_place(rows.mapInArrow(tk.tidy(numbered), f"`{key}` {kind}, sequence int, n_tokens int, _number long, ids binary"), "_number", total, s.seed, "slot").drop("_number")
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
     dealt = placed.repartition(s.shards, "shard").sortWithinPartitions("slot")
 
@@ -161,7 +162,7 @@ def write(df: DataFrame, folder: str, s: Settings, scratch: Scratch | None = Non
         if out:
             out.close()
 
-    result = dealt.select(key, "sequence", "n_tokens", "slot", "ids", "shard").mapInArrow(stored, f"`{key}` {kind}, sequence int, n_tokens int, slot long, shard int, record long, record_crc32 long")
+    result = dealt.select(key, "sequence", "n_tokens", "slot", "ids", "shard").mapInArrow(tk.tidy(stored), f"`{key}` {kind}, sequence int, n_tokens int, slot long, shard int, record long, record_crc32 long")
     return scratch.save(result, "index")
 
 

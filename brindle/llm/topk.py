@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .util import Scratch
 
 _SCHEMA = "part long, n int, dim int, kind string, ids binary, forward binary, low binary, high binary"
@@ -73,7 +74,7 @@ def blocks(df: DataFrame, s: Settings, key: str, vector: str, scratch: Scratch,
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["part", "n", "dim", "kind", "ids", "forward", "low", "high"])
 
     some = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
-    return scratch.save(some.repartitionByRange("_id", "_v").sortWithinPartitions("_id", "_v").mapInArrow(run, _SCHEMA), name)
+    return scratch.save(some.repartitionByRange("_id", "_v").sortWithinPartitions("_id", "_v").mapInArrow(tk.tidy(run), _SCHEMA), name)
 
 
 class _Block:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .labelled import sample
 from .quality import logistic
 from .util import ship
@@ -146,10 +147,10 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
 
     kind = "term string, context string, y int"
     rows = sample(df, labels, label, s.rows, s.clean_rows)
-    toxic = rows.where("y = 1").mapInArrow(found, kind).distinct()
+    toxic = rows.where("y = 1").mapInArrow(tk.tidy(found), kind).distinct()
     pos = Counter({r.term: r.n for r in toxic.groupBy("term").agg(F.count("*").alias("n")).where(f"n >= {least}").collect()})
     wanted = frozenset(pos)
-    clean = rows.where("y = 0").mapInArrow(lambda it: found(it, wanted), kind).distinct()
+    clean = rows.where("y = 0").mapInArrow(tk.tidy(lambda it: found(it, wanted)), kind).distinct()
     neg = Counter({r.term: r.n for r in clean.groupBy("term").agg(F.count("*").alias("n")).collect()})
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -177,7 +178,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
             x = [Lexicon.normalised(Lexicon.hits(automaton, f)[0], f) for f in map(fold, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
-    points = sorted((r.x, r.y) for r in rows.mapInArrow(measured, "x double, y int").collect())
+    points = sorted((r.x, r.y) for r in rows.mapInArrow(tk.tidy(measured), "x double, y int").collect())
     x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
     if len(set(y.tolist())) < 2:
         return Lexicon(weights, exceptions, 1.0, -2.0)
@@ -205,4 +206,4 @@ def score(df: DataFrame, model: Lexicon, key: str = "doc_id", text: str = "text"
                 hits.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int32())], names=[key, "score", "hits"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, hits int")
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(tk.tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, score double, hits int")
