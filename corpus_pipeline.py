@@ -42,9 +42,8 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decodes): byte-level BPE ids of each text, and that they decode to its bytes."""
-    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=("text",))
-    decoded = bpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN, keep=("n_tokens", "ids", "text"))
-    return decoded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("decodes"))
+    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=("text",), check=True)
+    return encoded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("decodes"))
 
 
 STAGES = [
