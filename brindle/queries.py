@@ -69,7 +69,7 @@ def _project(name: str, table: str, sql_columns: str, *named, where: tuple = (),
     handle = TABLES[table][0]
     keys = (handle,) if handle else ()
     request = Request(table, projections=(*(col(k).named(k) for k in keys), *named), conditions=where)
-    _request(name, request, f"SELECT {', '.join((*keys, sql_columns))} FROM {table} {sql_where}", casts)
+    _request(name, request, f"SELECT {', '.join((*(f'{k}::BIGINT AS {k}' for k in keys), sql_columns))} FROM {table} {sql_where}", casts)
 
 
 def _day(text: str):
