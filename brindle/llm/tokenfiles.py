@@ -70,8 +70,8 @@ def _encoding(s: Settings):
 
 def sequences(text: str | None, s: Settings) -> np.ndarray:
     """Matrix of a document's sequences; an empty text is one sequence of end marks."""
-    ids = np.array(_encoding(s).encode_ordinary(text or "") + [s.end_id], s.kind)
-    out = np.full((-(-len(ids) // s.length), s.length), s.end_id, s.kind)
+    ids = _encoding(s).encode_ordinary(text or "")
+    out = np.full((len(ids) // s.length + 1, s.length), s.end_id, s.kind)
     out.reshape(-1)[: len(ids)] = ids
     return out
 
@@ -102,8 +102,11 @@ def write(df: DataFrame, folder: str, s: Settings, scratch: Scratch | None = Non
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
 
     def counted(batches):
-        encode = _encoding(s).encode_ordinary
-        n = sum(len(encode(x.as_py() or "")) // s.length + 1 for batch in batches for x in batch.column(0))
+        encode, n = _encoding(s).encode_ordinary, 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                # there are at most as many ids as bytes, so short texts needn't be encoded to be counted
+                n += 1 if not x or len(x) < s.length and len(x.encode()) < s.length else len(encode(x)) // s.length + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     counts = scratch.save(rows.select("_text").mapInArrow(tk.tidy(counted), "part long, n long"), "counts").collect()  # a row for each partition
@@ -149,13 +152,12 @@ def write(df: DataFrame, folder: str, s: Settings, scratch: Scratch | None = Non
         for batch in batches:
             shards = np.asarray(batch.column(5))
             crcs = []
-            for i, record in enumerate(batch.column(4)):
-                data = record.as_py()
+            for shard, data in zip(shards.tolist(), batch.column(4).to_pylist()):
                 crcs.append(zlib.crc32(data))
-                if out is None or out.shard != shards[i]:
+                if out is None or out.shard != shard:
                     if out:
                         out.close()
-                    out = _Shard(fs, path, int(shards[i]), s, per_shard, total)
+                    out = _Shard(fs, path, shard, s, per_shard, total)
                 out.add(data)
             slots = np.asarray(batch.column(3))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), batch.column(5), pa.array(slots % per_shard), pa.array(crcs, pa.int64())], names=[key, "sequence", "n_tokens", "slot", "shard", "record", "record_crc32"])
@@ -173,16 +175,25 @@ class _Shard:
         self.fs, self.path, self.shard, self.crc, self.records = fs, f"{path}/{shard_name(shard)}", shard, 0, 0
         self.note = {"shard": shard, "first_slot": shard * per_shard, "stride": s.stride, "length": s.length, "kind": s.kind, "seed": s.seed, "sequences": total}
         self.temporary = f"{path}/.{shard_name(shard)}.{uuid.uuid4().hex}"
-        self.stream = fs.open_output_stream(self.temporary, buffer_size=1 << 20)
+        self.stream = fs.open_output_stream(self.temporary)
+        self.block: list[bytes] = []
 
     def add(self, data: bytes) -> None:
-        self.crc = zlib.crc32(data, self.crc)
         self.records += 1
+        self.block.append(data)
+        if len(self.block) == 1024:
+            self._flush()
+
+    def _flush(self) -> None:
+        data = b"".join(self.block)
+        self.block = []
+        self.crc = zlib.crc32(data, self.crc)
         self.stream.write(data)
 
     def close(self) -> None:
         from pyarrow.fs import FileType
 
+        self._flush()
         self.stream.close()
         note = json.dumps(self.note | {"records": self.records, "crc32": self.crc}, sort_keys=True).encode()
         beside = f"{self.path}.json"
