@@ -57,15 +57,16 @@ _encodings = {}
 
 
 def _encoding(s: Settings):
-    if (s.vocabulary, s.pattern) not in _encodings:
+    key = (s.vocabulary, s.pattern, s.end_id)
+    if key not in _encodings:
         import tiktoken
 
         with open(s.vocabulary, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(bytes.strip, f))}
         if s.end_id in ranks.values() or max(ranks.values()) >= 1 << (8 * np.dtype(s.kind).itemsize):
             raise ValueError("end_id must be free, and as wide as the vocabulary's ids")
-        _encodings[s.vocabulary, s.pattern] = tiktoken.Encoding("ranks", pat_str=s.pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[s.vocabulary, s.pattern]
+        _encodings[key] = tiktoken.Encoding("ranks", pat_str=s.pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
 def sequences(text: str | None, s: Settings) -> np.ndarray:

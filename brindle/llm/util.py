@@ -98,7 +98,7 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes of edges (a, b: long); component is the smallest node reachable.
+    """(node, component) of all nodes of edges (a, b: long) but each component's smallest, which is its name.
 
     Alternates large-star and small-star (Kiveris et al., 2014) until nothing changes. Each
     round is written; hubs with very many neighbours are handled by partial minima and by
