@@ -31,25 +31,31 @@ class Table:
 
 
 class Catalog:
-    """Named tables of a session."""
+    """Named tables of a session. Tables on disk are opened when they are first asked for."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, Table] = {}
+        self._unopened: dict[str, tuple] = {}
 
     def register(self, name: str, df: DataFrame, handle: str | None = None, indexes: dict[str, tuple[str, ...]] | None = None) -> Table:
         if handle is not None and handle not in df.columns:
             raise RequestError(f"{name} has no column {handle}")
         if indexes and not handle:
             raise RequestError("an index needs a handle")
+        self._unopened.pop(name, None)
         before = self.tables.get(name)
         self.tables[name] = Table(name, df, handle, dict(indexes or {}), before.version + 1 if before else 0)
         return self.tables[name]
 
-    def read(self, name: str, path: str, handle: str | None = None, indexes: dict[str, tuple[str, ...]] | None = None) -> Table:
-        return self.register(name, self.spark.read.parquet(path), handle, indexes)
+    def read(self, name: str, path: str, handle: str | None = None, indexes: dict[str, tuple[str, ...]] | None = None) -> None:
+        """A table of Parquet files."""
+        self._unopened[name] = (path, handle, indexes)
 
     def __getitem__(self, name: str) -> Table:
+        if name in self._unopened:
+            path, handle, indexes = self._unopened[name]
+            self.register(name, self.spark.read.parquet(path), handle, indexes)
         if name not in self.tables:
             raise RequestError(f"no table {name}")
         return self.tables[name]
