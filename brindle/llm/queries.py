@@ -96,7 +96,48 @@ QUERIES = {
         op10_substring_dedup,
     )
 }
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Distinct runs of {width} words of each row of {source} (id, text), as (id, g); with fewer words the whole sequence.
+_SHINGLES = r"""
+w AS (
+  SELECT id, regexp_extract_all(""" + _LOWER.format("text") + r""", '[^\x20\x09-\x0D]+') AS w FROM {source}
+), s AS (
+  SELECT DISTINCT id, array_to_string(w[k : k + {width} - 1], ' ') AS g
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - {width} + 1, 1))) AS k FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT id, count(*) AS n FROM s GROUP BY id
+), links AS (
+  SELECT a.id AS a, b.id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id
+  GROUP BY a.id, b.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT id AS a, id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), components AS (
+  SELECT a AS id, min(b) AS component FROM reach GROUP BY a
+)
+"""
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": "WITH RECURSIVE "
+    + _SHINGLES.strip().format(source="(SELECT doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)", width=4)
+    + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+  coalesce(d.doc_id = coalesce(c.component, d.doc_id), false) AS kept
+FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN components c ON c.id = d.doc_id
+""",
+    "op10_substring_dedup": r"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY doc_id, paragraph) AS id FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+  WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 20
+), """
+    + _SHINGLES.strip().format(source="p", width=5)
+    + """
+, m AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM components)
+SELECT p.doc_id, CAST(p.paragraph AS INTEGER) AS paragraph, h.doc_id AS cluster_doc_id,
+  CAST(h.paragraph AS INTEGER) AS cluster_paragraph, p.id <> h.id AS removed
+FROM m JOIN p USING (id) JOIN p h ON h.id = m.component WHERE m.members > 1
+""",
     "op4_chat_rotation": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
