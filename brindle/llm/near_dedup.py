@@ -139,7 +139,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFra
 
 
 def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
-    """Pairs of different classes among members (doc_id, class, weight, n), by an exact prefix join over their shingles.
+    """Pairs of different classes among members (doc_id, class, size, n), by an exact prefix join over their shingles.
 
     What a set shares with any other is at most m, its shingles that some other member has:
     sets with less than the bound in common with anything go first. The others are posted
@@ -164,7 +164,7 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
             probe, index = (n - -(-x * n // y) + 1 for x, y in ((p.percent, 100), (2 * p.percent, 100 + p.percent)))
             rows = np.repeat(np.arange(len(n)), probe)
             r = np.arange(len(rows)) - np.repeat(np.cumsum(probe) - probe, probe)
-            columns = [c.take(pa.array(rows)) for c in piece.select(["doc_id", "class", "weight", "m"]).columns]
+            columns = [c.take(pa.array(rows)) for c in piece.select(["doc_id", "class", "size", "m"]).columns]
             more = [n[rows], values[begin[:-1][rows] + r].view(np.int64), *(bits[rows, i] for i in range(BITMAP))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(r < index[rows]), *map(pa.array, more)], names=names)
 
@@ -172,19 +172,19 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
     alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(tk.tidy(all_shingles), "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
     known = own.join(scratch.save(alone, "alone"), "doc_id", "left")
     known = known.withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * m >= {p.percent} * n")
-    names = ["doc_id", "class", "weight", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
-    kinds = "doc_id long, class long, weight long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
-    rows = scratch.save(known.select("doc_id", "text", "class", "weight", "m").repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
-    heaviest = scratch.save(rows.groupBy("s").agg(F.count("*").alias("f"), F.max("weight").alias("w"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("f > 1 and c0 <> c1").select("s", "w"), "heaviest")
-    rows = scratch.save(rows.join(heaviest, "s"), "met")
-    a, b = rows.alias("a"), rows.where("index").alias("b")
-    # a shingle's heaviest class isn't joined with itself: one side or the other lies outside it
-    outer = "(a.weight <> a.w or b.weight <> b.w)"
+    names = ["doc_id", "class", "size", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
+    kinds = "doc_id long, class long, size long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
+    rows = scratch.save(known.select("doc_id", "text", "class", "size", "m").repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
+    largest = rows.groupBy("s").agg(F.max(F.struct("size", "class")).alias("top"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
+    largest = scratch.save(largest.select("s", F.col("top.class").alias("top")), "largest")
+    rows = scratch.save(rows.join(largest, "s").withColumn("outside", F.col("class") != F.col("top")), "met")
     sizes = f"(a.n > b.n or a.n = b.n and a.doc_id <> b.doc_id) and 100 * b.n >= {p.percent} * a.n"
     apart = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(BITMAP))
     near = f"{100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)"
-    cond = F.expr(f"a.s = b.s and a.class <> b.class and {outer} and {sizes}") & _fits(p, "least(a.m, b.m)", "a.n", "b.n") & F.expr(near)
-    return a.join(b, cond).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+    cond = F.expr(f"a.s = b.s and a.class <> b.class and {sizes}") & _fits(p, "least(a.m, b.m)", "a.n", "b.n") & F.expr(near)
+    index = rows.where("index")
+    pairs = [x.alias("a").join(y.alias("b"), cond).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")) for x, y in ((rows.where("outside"), index), (rows.where("not outside"), index.where("outside")))]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None) -> DataFrame:
@@ -231,10 +231,8 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     pairs = short.alias("a").join(short.alias("b"), cond).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     inside = scratch.save(prefix.where(f"len > {p.long}").select(F.col("doc").alias("doc_id"), "class", "n").distinct(), "inside")
     if inside.head(1):
-        weight = inside.groupBy("class").agg((F.count("*") * (1 << 40)).alias("size"), F.min("class").alias("c"))
-        # sizes, made different from each other by a hash of the class
-        weight = scratch.save(weight.select("class", (F.col("size") + F.pmod(F.xxhash64("c"), F.lit(1 << 40))).alias("weight")), "weight")
-        members = scratch.save(inside.join(weight, "class").select("doc_id", "class", "weight", "n"), "members")
+        sizes = scratch.save(inside.groupBy("class").agg(F.count("*").alias("size")), "sizes")
+        members = scratch.save(inside.join(sizes, "class").select("doc_id", "class", "size", "n"), "members")
         pairs = pairs.union(_long_list_pairs(members, texts, p, scratch)).distinct()
     more = scratch.save(_confirmed(scratch.save(pairs, "pairs"), texts, p), "more")
     final = scratch.save(components(links.union(more), scratch), "components") if more.head(1) else classes
