@@ -219,8 +219,8 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
 
     hubs = scratch.save(postings.groupBy("key").agg(F.max_by("doc", F.struct("score", F.negative("doc"))).alias("hub")), "hubs")
     met = postings.join(hubs, "key").where("doc <> hub").groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.count("*").alias("c")).where(f"c >= {T}").select("a", "b")
-    links = scratch.save(_confirmed(scratch.save(met, "met"), texts, p), "links")
-    classes = scratch.save(components(links, scratch), "classes")
+    links = scratch.save(_confirmed(met, texts, p), "links")
+    classes = components(links, scratch)
 
     # from here on only pairs of different classes count
     lanes = sets.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), *(F.col("lanes")[i].alias(f"l{i}") for i in range(words)))
@@ -235,7 +235,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
         members = scratch.save(inside.join(sizes, "class").select("doc_id", "class", "size", "n"), "members")
         pairs = pairs.union(_long_list_pairs(members, texts, p, scratch)).distinct()
     more = scratch.save(_confirmed(scratch.save(pairs, "pairs"), texts, p), "more")
-    final = scratch.save(components(links.union(more), scratch), "components") if more.head(1) else classes
+    final = components(links.union(more), scratch) if more.head(1) else classes
 
     of_set = scratch.save(sets.join(final, F.col("rep") == F.col("node"), "left").select("set_hash", "set_check", F.coalesce("component", "rep").alias("own")), "of_set")
     out = signed.select("doc_id", "n_shingles", "set_hash", "set_check").join(of_set, ["set_hash", "set_check"], "left")

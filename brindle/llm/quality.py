@@ -195,7 +195,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     sent = spark.sparkContext.broadcast(model)  # 2^bits numbers of four bytes
 
     def run(batches):
-        for piece, data, offsets in tk.text_chunks(batches):
+        for piece, data, offsets in tk.text_chunks(batches, limit=1 << 19):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sent.value.scores(data, offsets))], names=[key, "score"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(tk.tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
@@ -210,7 +210,7 @@ def keep(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") ->
     def run(batches):
         for batch in batches:
             flat = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
-            good = [sent.value.scores(data, offsets) >= least for _, data, offsets in tk.text_chunks([flat])]
+            good = [sent.value.scores(data, offsets) >= least for _, data, offsets in tk.text_chunks([flat], limit=1 << 19)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
