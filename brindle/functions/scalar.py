@@ -342,7 +342,7 @@ def _crc32(a, *_):
     return whole(F.crc32(to_str(a).cast("binary")))
 
 
-def _extreme(f, name):
+def _extreme(f):
     def make(*args):
         kind, cols = common(list(args))
         out = f(*cols) if len(cols) > 1 else cols[0]
@@ -351,8 +351,8 @@ def _extreme(f, name):
     return make
 
 
-function("GREATEST")(_extreme(F.greatest, "GREATEST"))
-function("LEAST")(_extreme(F.least, "LEAST"))
+function("GREATEST")(_extreme(F.greatest))
+function("LEAST")(_extreme(F.least))
 
 
 # dates

@@ -57,13 +57,11 @@ def compile_request(request: ir.Request, catalog: Catalog) -> DataFrame:
 
 
 def _scan(request: ir.Request, table: Table) -> tuple[DataFrame, list[str]]:
-    if request.read_ts is not None:
-        raise RequestError("read_ts needs a versioned table; take its snapshot and register that")
     if not request.index:
-        return scans.table_scan(table, request.ranges, request.resume_after, request.desc_scan), table.order
+        return scans.table_scan(table, request.ranges, request.resume_after, request.desc_scan, request.read_ts), table.order
     name = request.index.name
     read = scans.index_lookup if request.index.lookup else scans.index_scan
-    return read(table, name, request.ranges), [*table.indexes[name], table.handle] if name in table.indexes else []
+    return read(table, name, request.ranges, request.read_ts), [*table.index_columns(name), table.handle]
 
 
 def _calls(scope: Scope, request: ir.Request) -> list[agg.Call]:
@@ -94,8 +92,8 @@ def _aggregate(df: DataFrame, scope: Scope, request: ir.Request, order: list[str
 
 def merge_partials(states: DataFrame, request: ir.Request, catalog: Catalog, order: list[str] | None = None) -> DataFrame:
     """The final result of states that partial requests gave, from any number of parts; order ranks the parts."""
-    scope = Scope(catalog[request.table].df.schema, request.collation)
+    df = catalog[request.table].rows()
+    scope = Scope(df.schema, request.collation)
     if request.projections:
-        df = catalog[request.table].df
         scope = Scope(df.select(*(scope.compile(p.expr).shown().col.alias(p.name) for p in request.projections)).schema, request.collation)
     return agg.final(states, [g.name for g in request.group_by], _calls(scope, request), order or [])

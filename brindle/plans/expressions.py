@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import scalar
-from ..functions.types import LONG_MIN, NUMERIC, RequestError, Typed, common, comparable, null, of_column, of_literal, parsed_datetime, to_double, to_long, to_str, truthy
+from ..functions.types import LONG_MIN, RequestError, Typed, common, comparable, null, of_column, of_literal, parsed_datetime, to_double, to_long, to_str, truthy
 from . import ir
 from .ir import BinaryOp, UnaryOp
 
@@ -162,20 +162,6 @@ _NODES = {
 }
 
 
-def like_regex(pattern: str) -> str:
-    """An anchored regular expression for a LIKE pattern: % any run, _ one character, backslash takes the next as it is."""
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            i += 1
-            out.append(re.escape(pattern[i]))
-        else:
-            out.append({"%": ".*", "_": "."}.get(c) or re.escape(c))
-        i += 1
-    return "(?s)^" + "".join(out) + "$"
-
-
 def _like(value: Column, pattern: Column, literal: str | None) -> Column:
     """Never minds case. Constant patterns become the engine's own LIKE, a plain start, end or middle at best."""
     if literal is not None:
@@ -189,6 +175,3 @@ def _like(value: Column, pattern: Column, literal: str | None) -> Column:
     fixed = F.when(F.length(lone) % 2 == 1, F.concat(fixed, F.lit("\\"))).otherwise(fixed)
     return F.like(F.lower(value), fixed)
 
-
-def is_number(kind: str) -> bool:
-    return kind in NUMERIC

@@ -372,6 +372,15 @@ _query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_V} WHERE commit_
 _query(f"SELECT * FROM {_V} WHERE NOT (user_key >= 20 AND user_key < 60)", "mvcc_delete_range")(lambda spark, sf_dir: mvcc.delete_range(versions(spark, sf_dir), 20, 60))
 
 
+@_query(f"SELECT CAST(value > 50 AS BIGINT) AS high, count(*) AS n FROM ({_SNAP}) WHERE user_key >= 5 AND user_key < 120 GROUP BY 1")
+def select_at_timestamp(spark, sf_dir):
+    """A request with ranges and groups over a versioned table, as of a timestamp."""
+    c = Catalog(spark)
+    c.register_versions("accounts", versions(spark, sf_dir), "user_key")
+    r = Request("accounts", ranges=(KeyRange(5, 120),), read_ts=500, group_by=((col("value") > 50).named("high"),), aggregates=(Agg(AggType.COUNT, name="n"),))
+    return compile_request(r, c)
+
+
 def _locks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
     return e.select(F.col("user_id").alias("user_key"), F.when(F.col("event_id") % 2 == 0, "PUT").otherwise("LOCK").alias("type"), F.col("event_id").alias("start_ts"), F.lit(3000).alias("ttl_ms"))

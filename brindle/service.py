@@ -76,7 +76,7 @@ class Service:
             raise UnsupportedRequest(f"unsupported request type {kind}") from None
         table = self.catalog[request.table]
         if kind == RequestType.TABLE_SCAN:
-            df = scans.table_scan(table, request.ranges, request.resume_after, request.desc_scan).orderBy(*scans.sort_keys(table.order, request.desc_scan))
+            df = scans.table_scan(table, request.ranges, request.resume_after, request.desc_scan, request.read_ts).orderBy(*scans.sort_keys(table.order, request.desc_scan))
             limit = min((x for x in (request.limit, request.paging_size) if x is not None), default=None)
             return df if limit is None else df.limit(limit)
         if kind == RequestType.SELECT:
@@ -85,7 +85,7 @@ class Service:
             if not request.index:
                 raise RequestError("an index scan needs an index")
             return compile_request(request, self.catalog)
-        df = scans.table_scan(table, request.ranges)
+        df = scans.table_scan(table, request.ranges, read_ts=request.read_ts)
         if kind == RequestType.ANALYZE:
             return stats.analyze(df, list(request.columns or df.columns), request.options.get("ndv_cap"), request.options.get("approximate", False))
         key, value = request.options.get("key", table.handle), request.options.get("value")

@@ -34,36 +34,31 @@ def sort_keys(order: list[str], desc: bool = False) -> list[Column]:
     return [F.col(f"`{c}`").desc_nulls_last() if desc else F.col(f"`{c}`").asc_nulls_first() for c in order]
 
 
-def table_scan(table: Table, ranges: tuple[KeyRange, ...] = (), after: Any = None, desc: bool = False) -> DataFrame:
-    """Rows by handle ranges, unordered; after resumes behind a handle in scan direction."""
-    df = table.df
+def table_scan(table: Table, ranges: tuple[KeyRange, ...] = (), after: Any = None, desc: bool = False, read_ts: int | None = None) -> DataFrame:
+    """Rows by handle ranges, unordered; after resumes behind a handle in scan direction; read_ts reads the past of a versioned table."""
     if (ranges or after is not None) and not table.handle:
         raise RequestError(f"{table.name} has no handle")
-    if (test := in_ranges(table.handle, ranges) if ranges else None) is not None:
-        df = df.where(test)
+    test = in_ranges(table.handle, ranges) if ranges else None
     if after is not None:
-        df = df.where(F.col(table.handle) < after if desc else F.col(table.handle) > after)
-    return df
+        behind = F.col(table.handle) < after if desc else F.col(table.handle) > after
+        test = behind if test is None else test & behind
+    return table.rows(read_ts, test)
 
 
-def index_scan(table: Table, index: str, ranges: tuple[KeyRange, ...] = ()) -> DataFrame:
-    """Index columns and the handle, by ranges of the first index column."""
-    df = table.index_frame(index)
-    test = in_ranges(table.indexes[index][0], ranges) if ranges else None
-    return df if test is None else df.where(test)
+def index_scan(table: Table, index: str, ranges: tuple[KeyRange, ...] = (), read_ts: int | None = None) -> DataFrame:
+    """Index columns and the handle, by ranges of the first index column; column pruning makes this the covering read."""
+    return index_lookup(table, index, ranges, read_ts).select(*table.index_columns(index), table.handle)
 
 
-def index_lookup(table: Table, index: str, ranges: tuple[KeyRange, ...] = ()) -> DataFrame:
-    """Whole rows by index ranges, each joined to its row by handle.
+def index_lookup(table: Table, index: str, ranges: tuple[KeyRange, ...] = (), read_ts: int | None = None) -> DataFrame:
+    """Whole rows by index ranges.
 
-    The index is a projection of the table itself, so for a registered table the rows come
-    from one filtered read; a join is needed only when the index is a table of its own
-    (see lookup).
+    An index is a projection of its table, so the rows come from one filtered read; a join
+    by handle is needed only when the index is a table of its own (see lookup).
     """
-    if index not in table.indexes:
-        raise RequestError(f"no index {index} on {table.name}")
-    test = in_ranges(table.indexes[index][0], ranges) if ranges else None
-    return table.df if test is None else table.df.where(test)
+    test = in_ranges(table.index_columns(index)[0], ranges) if ranges else None
+    df = table.rows(read_ts)
+    return df if test is None else df.where(test)
 
 
 def lookup(index: DataFrame, table: DataFrame, handle: str) -> DataFrame:

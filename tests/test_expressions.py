@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from brindle.functions.types import RequestError
-from brindle.plans.expressions import Scope, like_regex
+from brindle.plans.expressions import Scope
 from brindle.plans.ir import Between, Cast, Const, In, Like, call, case, col, const
 
 NULL = const(None)
@@ -217,10 +217,6 @@ def test_collation(value):
     assert value(In(const("ABC"), (col("s"),)), 2) == 1
 
 
-def test_like_regex():
-    assert like_regex("a%_\\%.") == "(?s)^a.*.%\\.$"
-
-
 def test_patterns_from_columns(spark):
     rows = spark.createDataFrame([("100%", "100\\%"), ("abc", "A_C"), ("a\\", "a\\"), ("xz", "x\\z")], "v string, p string")
     out = rows.select(Scope(rows.schema).compile(Like(col("v"), col("p"))).col.alias("x")).collect()

@@ -84,6 +84,19 @@ def test_indexes(people):
         rows(people, index=IndexSpec("none"))
 
 
+def test_reads_at_a_timestamp(spark):
+    c = Catalog(spark)
+    log = [(1, "a", 10, "PUT"), (1, "b", 20, "PUT"), (2, "x", 15, "PUT"), (2, None, 30, "DELETE"), (3, "y", 40, "ROLLBACK"), (4, "z", 5, "PUT")]
+    c.register_versions("t", spark.createDataFrame(log, "h long, v string, commit_ts long, op string"), "h", {"by_v": ("v",)})
+    assert rows(c, table="t", read_ts=4) == []
+    assert sorted(rows(c, table="t", read_ts=16)) == [(1, "a"), (2, "x"), (4, "z")]
+    assert sorted(rows(c, table="t")) == [(1, "b"), (4, "z")]
+    assert rows(c, table="t", read_ts=16, ranges=(KeyRange(2, 4),), conditions=(col("v").eq("x"),)) == [(2, "x")]
+    assert rows(c, table="t", read_ts=25, index=IndexSpec("by_v"), ranges=(KeyRange("b", "y"),)) == [("b", 1), ("x", 2)]
+    with pytest.raises(RequestError):
+        c.register_versions("u", spark.createDataFrame([(1,)], "h long"), "h")
+
+
 def test_bad_requests(people):
     for bad in (dict(aggregates=(Agg(AggType.COUNT),), limit=1), dict(aggregates=(Agg(AggType.SUM),)), dict(aggregates=(Agg(77, col("age")),)), dict(limit=-1), dict(table="none"), dict(read_ts=5)):
         with pytest.raises(RequestError):
