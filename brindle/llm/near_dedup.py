@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .util import Scratch, components, semi_join
+from .util import Scratch, components, semi_join, small_batches
 
 
 LANES, LANE_BITS = 7, 9
 BITMAP = 16  # numbers of 64 bits
+#: Pairs of whole texts that a worker holds.
+PAIRS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -110,15 +112,15 @@ def _fits(p: NearDuplicates, both: str, x: str, y: str):
     return F.expr(f"100 * ({both}) >= {p.percent} * ({x} + {y} - ({both}))")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the bound."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets meet the bound, written."""
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         for batch in batches:
             at = 0
-            size = max(1, (4 << 20) * batch.num_rows // max(1, batch.nbytes))
+            size = max(1, (1 << 20) * batch.num_rows // max(1, batch.nbytes))
             while at < batch.num_rows:
                 part = batch.slice(at, size)
                 at += size
@@ -135,7 +137,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFra
                     keep[i] = both > 0 and 100 * both >= p.percent * (len(u) + len(v) - both)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(tk.tidy(run), "a long, b long")
+    with small_batches(pairs.sparkSession, PAIRS_AT_ONCE):
+        return scratch.save(two.select("a", "b", "ta", "tb").mapInArrow(tk.tidy(run), "a long, b long"), "confirmed")
 
 
 def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
@@ -219,7 +222,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
 
     hubs = scratch.save(postings.groupBy("key").agg(F.max_by("doc", F.struct("score", F.negative("doc"))).alias("hub")), "hubs")
     met = postings.join(hubs, "key").where("doc <> hub").groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.count("*").alias("c")).where(f"c >= {T}").select("a", "b")
-    links = scratch.save(_confirmed(met, texts, p), "links")
+    links = _confirmed(met, texts, p, scratch)
     classes = components(links, scratch)
 
     # from here on only pairs of different classes count
@@ -234,7 +237,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
         sizes = scratch.save(inside.groupBy("class").agg(F.count("*").alias("size")), "sizes")
         members = scratch.save(inside.join(sizes, "class").select("doc_id", "class", "size", "n"), "members")
         pairs = pairs.union(_long_list_pairs(members, texts, p, scratch)).distinct()
-    more = scratch.save(_confirmed(scratch.save(pairs, "pairs"), texts, p), "more")
+    more = _confirmed(scratch.save(pairs, "pairs"), texts, p, scratch)
     final = components(links.union(more), scratch) if more.head(1) else classes
 
     of_set = scratch.save(sets.join(final, F.col("rep") == F.col("node"), "left").select("set_hash", "set_check", F.coalesce("component", "rep").alias("own")), "of_set")

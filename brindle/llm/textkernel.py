@@ -1,7 +1,7 @@
 """Words and shingles of whole Arrow string columns, as numpy arrays.
 
 Works on the bytes of a column: no Python string is made. Texts of any length pass in
-blocks of about a megabyte, so memory follows the number of words and not eight bytes a
+blocks of a quarter megabyte, so memory follows the number of words and not eight bytes a
 character.
 """
 
@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -177,7 +177,7 @@ def signatures(values: np.ndarray, begin: np.ndarray, size: int, seed: int = 7)
     return out
 
 
-def text_chunks(batches, text: str = "text", limit: int = 1 << 20):
+def text_chunks(batches, text: str = "text", limit: int = 1 << 19):
     """Cuts record batches into pieces of about limit bytes of text; yields (piece, bytes, offsets)."""
     for batch in batches:
         if not batch.num_rows:

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ class Scratch:
         _delete(self.spark, name_or_path if "/" in name_or_path else f"{self.path}/{name_or_path}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While it lasts, jobs hand Python at most rows rows at a time: for rows that hold whole texts twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
