@@ -1,0 +1,223 @@
+"""Verbatim passages that repeat within and across documents, wherever lines begin and end.
+
+A text is taken as its words, so line breaks and what stands around a passage don't matter.
+Of each window of `words` words the run of `anchor` words with the smallest hash is posted
+(winnowing; Schleimer et al., 2003): equal windows choose equal runs, so no repeated window
+is missed. Windows around runs that were posted twice are compared by 96-bit hashes. All
+occurrences of a window but the first (smallest doc_id, then place) are removed, by
+character span.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import textkernel as tk
+from .util import BROADCAST_ROWS, Scratch
+
+KEY = ["doc_id", "t"]
+_FACTORS = np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """words: the shortest passage that counts. anchor: words of the runs that are posted."""
+
+    words: int = 50
+    anchor: int = 25
+
+    def __post_init__(self):
+        if not 0 < self.anchor <= self.words:
+            raise ValueError("anchor must be between 1 and words")
+
+
+def _runs(words: np.ndarray, width: int, factor: np.uint64) -> np.ndarray:
+    """A hash of every run of width words, across texts too."""
+    out = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for j in range(width if len(out) else 0):
+        out *= factor
+        out += words[j : j + len(out)]
+    return tk.mix(out)
+
+
+def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
+    """f (minimum or maximum) over every width neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = f(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(words: np.ndarray, first: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(places among all words, hashes) of the runs to post."""
+    n = len(words) - s.words + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.maximum(_runs(words, s.anchor, _FACTORS[0]), np.uint64(1))
+    span = s.words - s.anchor + 1
+    low = _sliding(np.minimum, h, span)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    low[text[:n] != text[s.words - 1 :]] = 0
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, low, edge)), span) == h)
+    return at, h[at]
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any of the ranges begin..end-1."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, begin, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with t, which tells texts of one doc_id apart; rows equal in both are alike in all that follows."""
+    text = F.col("text").cast("string")
+    return df.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def _with(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of texts whose key is in lists (written, one row a key), with its columns; only these are shuffled if they are few."""
+    ids = lists.select(*KEY)
+    if ids.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(ids), KEY, "left_semi")
+    return texts.join(lists, KEY)
+
+
+def _occurrences(df: DataFrame, s: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((row, pos, removed, first_doc_id) of all windows that occur again, (row, doc_id, t) of their texts)."""
+    texts = _keyed(df)
+
+    def post(batches):
+        for piece, data, offsets in tk.text_chunks(batches):
+            starts, ends, first = tk.spans(data, offsets)
+            at, h = anchors(tk.hashes(data, starts, ends), first, s)
+            row = np.searchsorted(first, at, "right") - 1
+            keys = [piece.column(i).take(pa.array(row)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array((at - first[row]).astype(np.int32)), pa.array(h.view(np.int64))], names=[*KEY, "pos", "h"])
+
+    def windows(batches):
+        for piece, data, offsets in tk.text_chunks(batches):
+            starts, ends, first = tk.spans(data, offsets)
+            words = tk.hashes(data, starts, ends)
+            at = piece.column(piece.schema.get_field_index("at"))
+            row = np.repeat(np.arange(piece.num_rows), np.asarray(pc.list_value_length(at)))
+            place = first[row] + np.asarray(at.flatten())
+            begin = np.maximum(first[row], place - (s.words - s.anchor))
+            end = np.minimum(place, first[row + 1] - s.words) + 1
+            here = np.flatnonzero(_covered(begin, end, len(words)))
+            row = np.searchsorted(first, here, "right") - 1
+            keys = [piece.column(i).take(pa.array(row)) for i in (0, 1)]
+            h, c = (_runs(words, s.words, f)[here] for f in _FACTORS)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array((here - first[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "row", "pos", "h", "c"])
+
+    start = scratch.n
+    posted = scratch.save(texts.mapInArrow(tk.tidy(post), "doc_id long, t long, pos int, h long"), "posted")
+    twice = scratch.save(posted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    lists = scratch.save(posted.join(twice, "h").groupBy(*KEY).agg(F.collect_list("pos").alias("at")).withColumn("row", F.monotonically_increasing_id()), "lists")
+    scratch.drop(f"{start + 1}-posted")
+    scratch.drop(f"{start + 2}-twice")
+    found = scratch.save(_with(texts, lists).select("doc_id", "row", "text", "at").mapInArrow(tk.tidy(windows), "doc_id long, row long, pos int, h long, c int"), "windows")
+    # a small number in place of t, as each window is shuffled with it
+    place = F.struct("doc_id", "row", "pos")
+    heads = found.groupBy("h", "c").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z")
+    again = f"{{0}}.doc_id <> a.doc_id or {{0}}.row = a.row and {{0}}.pos - a.pos >= {s.words}"
+    heads = scratch.save(heads.select("h", "c", "a", F.expr(again.format("z")).alias("real")), "heads")
+    removed = F.expr(again.replace("{0}.", ""))
+    met = found.join(heads, ["h", "c"]).withColumn("removed", removed).where("removed or real")
+    return met.select("row", "pos", "removed", F.col("a.doc_id").alias("first_doc_id")), lists.select("row", *KEY)
+
+
+def _stretches(pos: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches of n words that the windows at pos cover."""
+    step = np.diff(np.concatenate(([0], _covered(pos, pos + width, n).astype(np.int8), [0])))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def repeated_passages(df: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, begin int, end int, words int, first_doc_id, removed) of every stretch of words that repeat.
+
+    df needs doc_id (integer) and text; other columns are ignored. begin and end count
+    characters of text. A stretch is a union of windows of s.words words (cut at blanks, A to
+    Z alike in both cases) that occur again: of repeats of what came before (removed), or of
+    those that are kept for others. first_doc_id has the first occurrence of its first
+    window. Within a document only occurrences that don't overlap the first count as
+    repeats. Rows without doc_id or text take no part. Rows that repeat a doc_id count as
+    one document, which never repeats another row of its own.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "passages")
+    found, keys = _occurrences(df, s, scratch)
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("pos", "removed", "first_doc_id")).alias("at"))
+    lists = scratch.save(lists.join(keys, "row").select(*KEY, "at"), "found")
+
+    def run(batches):
+        for piece, data, offsets in tk.text_chunks(batches):
+            starts, ends, first = tk.spans(data, offsets)
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            out = []
+            for i in range(piece.num_rows):
+                at = piece.column(3)[i].values
+                pos, gone, head = (np.asarray(at.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
+                for removed in (False, True):
+                    p, first_place = np.unique(pos[gone == removed], return_index=True)
+                    h = head[gone == removed][first_place]
+                    for a, b in zip(*_stretches(p, int(first[i + 1] - first[i]), s.words)):
+                        x, y = chars[starts[first[i] + a]], chars[ends[first[i] + b - 1]]
+                        out.append((piece.column(0)[i].as_py(), int(x - chars[offsets[i]]), int(y - chars[offsets[i]]), int(b - a), int(h[np.searchsorted(p, a)]), removed))
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "begin", "end", "words", "first_doc_id", "removed"])
+
+    return _with(_keyed(df), lists).select(*KEY, "text", "at").mapInArrow(tk.tidy(run), "doc_id long, begin int, end int, words int, first_doc_id long, removed boolean")
+
+
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, stretches) -> bytes:
+    """text without the stretches; of the blanks on both sides of one those with more line breaks stay."""
+    out, at = [], 0
+    for a, b in stretches:
+        before, after = ends[a - 1] if a else 0, starts[b] if b < len(starts) else len(text)
+        left, right = text[before : starts[a]], text[ends[b - 1] : after]
+        out += text[at:before], right if a and (b == len(starts) or right.count(b"\n") > left.count(b"\n")) else left
+        at = after
+    return b"".join([*out, text[at:]])
+
+
+def without_passages(df: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
+    """df with removed passages cut from text and n_chars, if there, counted anew; rows of which nothing is left go.
+
+    df is read several times. Rows without doc_id or text stay as they are.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "passages")
+    found, keys = _occurrences(df, s, scratch)
+    lists = found.where("removed").groupBy("row").agg(F.collect_list("pos").alias("_at")).join(keys, "row")
+    lists = scratch.save(lists.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "_at"), "cut")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
+    ids = lists.select("_doc", "_t")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    names, at = df.columns, df.columns.index("text")
+
+    def run(batches):
+        for piece, data, offsets in tk.text_chunks(batches):
+            starts, ends, first = tk.spans(data, offsets)
+            out = []
+            for i in range(piece.num_rows):
+                pos = np.unique(piece.column(piece.num_columns - 1)[i].values.to_numpy())
+                own = slice(first[i], first[i + 1])
+                out.append(_cut(data[offsets[i] : offsets[i + 1]].tobytes(), starts[own] - offsets[i], ends[own] - offsets[i], zip(*_stretches(pos, int(first[i + 1] - first[i]), s.words))).decode())
+            columns = piece.columns[:-1]
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(x.strip()) for x in out], pa.bool_()))
+
+    hit = df.join(ids, same, "left_semi").join(lists, same).select(*(df[c] for c in df.columns), "_at")
+    out = hit.mapInArrow(tk.tidy(run), df.schema)
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return df.join(ids, same, "left_anti").unionByName(out.select(*df.columns))

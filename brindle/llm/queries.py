@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dedup, quality, sharding, substring, tokenfiles, topk, toxicity
+from . import bpe, chat, decontaminate, near_dedup, passages, quality, sharding, substring, tokenfiles, topk, toxicity
 from .labelled import remainder
 from .util import Scratch
 
@@ -81,6 +81,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verbatim passage of 50 words or more that repeats in all documents, wherever lines begin and end."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES = {
         op8_exact_top_k,
         op9_sharding,
         op10_substring_dedup,
+        op10_substring_passages,
     )
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,0 +1,98 @@
+import random
+
+import corpus_pipeline
+import pytest
+
+from brindle.llm import passages
+from brindle.llm.passages import Settings
+
+from .test_pipeline import table
+
+
+def wrapped(text, n):
+    """text in lines of n words."""
+    w = text.split()
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def brute(rows, s=Settings()):
+    """{doc_id: words removed} by a dictionary of all windows; rows of distinct doc_id."""
+    seen, gone = {}, {}
+    for d, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+        w = t.lower().split()
+        for p in range(len(w) - s.words + 1):
+            head = seen.setdefault(" ".join(w[p : p + s.words]), (d, p))
+            if head[0] != d or p - head[1] >= s.words:
+                gone.setdefault(d, set()).update(range(p, p + s.words))
+    return gone
+
+
+def corpus(prose, edited):
+    p, q = prose(900, 55), prose(901, 120)
+    rows = [(i, f"{prose(10 * i, 60)}\n{prose(10 * i + 1, 30)}") for i in range(10)]
+    rows += [(20 + i, f"{prose(1000 + i, 20 + i)} {p} {prose(1100 + i, 33)}") for i in range(5)]  # in the middle of lines
+    rows += [(30 + i, f"{prose(1200 + i, 20)}\n{wrapped(p, 7 + i)}\n{prose(1300 + i, 25)}") for i in range(5)]  # in short lines
+    rows += [(40 + i, f"Été {prose(1400 + i, 9)} {wrapped(edited(q, i, i), 11)} {prose(1500 + i, 9)}") for i in range(4)]
+    rows += [(50, f"{p}\n{prose(1, 30)}\n{p.upper()}"), (51, p), (52, "na " * 130), (53, "na " * 60), (54, prose(2, 49)), (55, prose(2, 49)), (56, None), (57, ""), (None, p)]
+    random.Random(1).shuffle(rows)
+    return rows
+
+
+def test_against_brute_force(documents, prose, edited):
+    rows = corpus(prose, edited)
+    got, texts = passages.repeated_passages(documents(rows)).collect(), dict(rows)
+    words = {}
+    for r in got:
+        part = texts[r.doc_id][r.begin : r.end]
+        assert len(part.split()) == r.words >= 50 and part == part.strip()
+        if r.removed:
+            at = len(texts[r.doc_id][: r.begin].split())
+            words.setdefault(r.doc_id, set()).update(range(at, at + r.words))
+    want = brute(rows)
+    assert words == want and {21, 24, 30, 34, 41, 50, 51, 52, 53} <= set(want)
+    assert any(r.doc_id == 20 and not r.removed and r.first_doc_id == 20 for r in got) and not {r.doc_id for r in got} & {*range(10), 54, 55}
+
+
+def test_rebuilt_texts(documents, prose, edited):
+    rows = corpus(prose, edited)
+    df, gone = documents(rows), brute(rows)
+    out = passages.without_passages(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    for d, t in rows:
+        left = None if t is None else [w for i, w in enumerate(t.split()) if i not in gone.get(d, ())]
+        if d in gone and not left:
+            assert d not in got
+        elif d in gone:
+            assert got[d].text.split() == left and got[d].n_chars == len(got[d].text)
+        else:
+            assert got[d].text == t
+    assert len(got) == len(rows) - sum(d in gone and len(gone[d]) == len(t.split()) for d, t in rows)
+
+
+def test_blanks_around_a_cut(documents, prose):
+    p = prose(7, 60)
+    out = passages.without_passages(documents([(1, p), (2, f"a {p} b"), (3, f"c\n{p} d"), (4, f"e {p}\n\nf"), (5, f"g\n{p}"), (6, f"{p}\nh")]))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: p, 2: "a b", 3: "c\nd", 4: "e\n\nf", 5: "g", 6: "h"}
+
+
+def test_rows_that_repeat_a_doc_id(documents, prose):
+    p, rest = prose(7, 60), prose(8, 60)
+    rows = [(5, p), (5, p), (5, f"{p} {rest}"), (9, f"x {p}"), (9, f"x {p}")]
+    got = sorted((r.doc_id, r.text) for r in passages.without_passages(documents(rows)).collect())
+    assert got == [(5, p), (5, p), (5, f"{p} {rest}"), (9, "x"), (9, "x")]
+
+
+def test_edges(documents, prose):
+    assert passages.repeated_passages(documents([])).collect() == []
+    assert passages.without_passages(documents([])).collect() == []
+    assert passages.without_passages(documents([(1, prose(1, 80))])).count() == 1
+    with pytest.raises(ValueError):
+        Settings(words=20)
+
+
+def test_pipeline_stage_cuts_passages(spark, prose):
+    p = prose(900, 60)
+    rows = [(1, f"{prose(1, 60)} {p} {prose(2, 60)}"), (2, f"{prose(3, 60)} {p} {prose(4, 60)}"), (3, f"{prose(5, 30)}\n{wrapped(p, 8)}\n{prose(6, 30)}")]
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["repeated_paragraphs"](spark, table(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: f"{prose(3, 60)} {prose(4, 60)}", 3: f"{prose(5, 30)}\n{prose(6, 30)}"}
