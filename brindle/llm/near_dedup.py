@@ -196,19 +196,20 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     df needs doc_id (integer, the key) and text; other columns are ignored, whatever their
     names. A null or blank text has no shingles, is linked with nothing and is its own
     component. A row without doc_id can't be named: component_id is null and kept false.
-    Rows that repeat a doc_id and its text are each reported, with the same component.
+    Rows that repeat a doc_id are judged one by one, each by its own text, and each reported.
     component_id is the smallest doc_id reachable over links; kept says that it is the
     row's own. An empty df gives no rows.
     """
     scratch = scratch or Scratch(df.sparkSession, "near")
     words, T = p.coordinates // LANES, p.matches
     signed = scratch.save(_signed(df, p), "signed")
+    if _repeats(signed):
+        return _by_row(df, signed, p, scratch)
     known = signed.where("doc_id is not null and n_shingles > 0")
     reps = scratch.save(known.groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    # one row of signed for each set; rows that repeat it are equal in all that counts
+    # one row of signed for each set
     sets = known.join(reps, (known["set_hash"] == reps["set_hash"]) & (known["set_check"] == reps["set_check"]) & (known["doc_id"] == reps["rep"]), "left_semi").withColumnRenamed("doc_id", "rep")
-    repeats = _repeats(signed)
-    sets = scratch.save(sets.dropDuplicates(["rep", "set_hash", "set_check"]) if repeats else sets, "sets")
+    sets = scratch.save(sets, "sets")
 
     posted = sets.select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
     lists = scratch.save(posted.groupBy("key").agg(F.count("*").alias("len")).where("len > 1"), "lists")
@@ -218,7 +219,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     postings = scratch.save(postings.drop("shared"), "postings")
     eligible = scratch.save(postings.where("rank = 1").select(F.col("doc").alias("doc_id")), "eligible")
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts = scratch.save(semi_join(source, eligible, "doc_id").dropDuplicates(["doc_id"]) if repeats else semi_join(source, eligible, "doc_id"), "texts")
+    texts = scratch.save(semi_join(source, eligible, "doc_id"), "texts")
 
     hubs = scratch.save(postings.groupBy("key").agg(F.max_by("doc", F.struct("score", F.negative("doc"))).alias("hub")), "hubs")
     met = postings.join(hubs, "key").where("doc <> hub").groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(F.count("*").alias("c")).where(f"c >= {T}").select("a", "b")
@@ -248,3 +249,38 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
 
 def _repeats(signed: DataFrame) -> bool:
     return bool(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
+
+
+def _numbered(df: DataFrame, p: NearDuplicates, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(df with _row, a number of its own for each row; (_row, id, n_shingles, component) of the rows with a doc_id), both written."""
+    rows = scratch.save(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    known = rows.where("doc_id is not null")
+    found = near_duplicates(known.select(F.col("_row").alias("doc_id"), "text"), p, scratch)
+    ids = known.select("_row", F.col("doc_id").cast("long").alias("id"))
+    found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("component")).join(ids, "_row")
+    return rows, scratch.save(found, "judged")
+
+
+def _by_row(df: DataFrame, signed: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
+    """near_duplicates of rows that repeat a doc_id: links are sought between rows, components named by doc_id after that."""
+    _, found = _numbered(df.select("doc_id", "text"), p, scratch)
+    names = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = found.join(names, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.union(signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(False)))
+
+
+def without_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None) -> DataFrame:
+    """df with one row of each component, that of the smallest doc_id; of rows that repeat a doc_id and a text one stays.
+
+    Rows are told apart by place, so a doc_id that another row repeats doesn't matter.
+    Rows without doc_id are linked with nothing.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "near")
+    rows, found = _numbered(df, p, scratch)
+    # texts without words have no links: of those only full repeats go
+    same = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
+    blank = semi_join(rows, scratch.save(found.where("n_shingles = 0").select("_row"), "blank"), "_row").withColumn("nth", same).where("nth > 1").select("_row")
+    heads = found.groupBy("component").agg(F.min(F.struct("id", "_row")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(heads, "component").where("_row <> head._row").select("_row")
+    gone = scratch.save(gone.union(blank), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

@@ -22,12 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate component (5-word shingles, 80 percent)."""
-    scratch = Scratch(spark, "pipeline")
-    found = near_dedup.near_duplicates(docs, near_dedup.NearDuplicates(), scratch)
-    gone = scratch.save(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """Keeps one row of each near-duplicate component, that of the smallest doc_id (5-word shingles, 80 percent)."""
+    return near_dedup.without_duplicates(docs)
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

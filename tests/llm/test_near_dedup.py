@@ -118,3 +118,20 @@ def test_kernel_against_strings(prose):
             assert both == len(shingle_set(t, 3) & shingle_set(u, 3))
     part = column.slice(2, 5)
     assert textkernel.column_bytes(part)[0].tobytes() == "".join(texts[2:7]).encode()
+
+
+def test_one_doc_id_with_two_texts(documents, prose, edited):
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    rows = [(5, a), (5, b), (5, b), (7, edited(a, 1, 2)), (8, edited(b, 2, 2)), (9, c), (3, edited(b, 3, 2)), (None, a)]
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(rows)).collect())
+    assert got == [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 3, False), (False, 5, 5, True), (False, 7, 5, False), (False, 8, 3, False), (False, 9, 9, True), (True, None, None, False)]
+
+
+def test_rows_go_and_not_ids(documents, prose, edited):
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    rows = [(5, a), (5, b), (2, edited(a, 1, 2)), (6, c), (6, c), (6, edited(c, 1, 1)), (7, ""), (7, ""), (8, None), (8, None), (9, "")]
+    df = documents(rows)
+    out = near_dedup.without_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert len(got) == 6 and [x for x in got if x[0] != 6] == sorted([(2, rows[2][1]), (5, b), (7, ""), (8, None), (9, "")], key=str)
