@@ -16,9 +16,9 @@ from brindle.llm.util import Scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier, fitted on the labelled ones, scores under one half. Rows without doc_id go."""
+    """Drops documents that the quality classifier, fitted on the labelled ones, scores under one half."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep(docs.where("doc_id is not null"), model)
+    return quality.keep(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_each_stage(spark, prose, edited, tmp_path, other):  # noqa: F811
 def test_stages_follow_each_other():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_paragraphs", "decontamination", "token_ids"]
     assert tiktoken and public_tokenizers and VOCABULARY
+
+
+def test_rows_without_doc_id_pass(spark, prose, edited, tmp_path):
+    rows, junk, item, labels = corpus(prose, edited)
+    clean, clean2 = prose(123456, 90), rows[3][1]
+    table(spark, [*rows, *junk, (None, clean), (None, clean2), (None, junk[25][1])]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert sorted(r.text for r in docs.collect() if r.doc_id is None) == sorted([clean, clean2]), name
+    assert sum(r.doc_id is None for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == 2
