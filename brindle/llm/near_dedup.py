@@ -190,7 +190,7 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
     return pairs[0].union(pairs[1]).distinct()
 
 
-def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None, unique: bool = False) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept.
 
     df needs doc_id (integer, the key) and text; other columns are ignored, whatever their
@@ -198,18 +198,21 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     component. A row without doc_id can't be named: component_id is null and kept false.
     Rows that repeat a doc_id are judged one by one, each by its own text, and each reported.
     component_id is the smallest doc_id reachable over links; kept says that it is the
-    row's own. An empty df gives no rows.
+    row's own. unique says that no doc_id repeats, so that needn't be looked up. An empty
+    df gives no rows.
     """
     scratch = scratch or Scratch(df.sparkSession, "near")
     words, T = p.coordinates // LANES, p.matches
     signed = scratch.save(_signed(df, p), "signed")
-    if _repeats(signed):
+    if not unique and _repeats(signed):
         return _by_row(df, signed, p, scratch)
     known = signed.where("doc_id is not null and n_shingles > 0")
     reps = scratch.save(known.groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
     # one row of signed for each set
     sets = known.join(reps, (known["set_hash"] == reps["set_hash"]) & (known["set_check"] == reps["set_check"]) & (known["doc_id"] == reps["rep"]), "left_semi").withColumnRenamed("doc_id", "rep")
     sets = scratch.save(sets, "sets")
+    signed = scratch.save(signed.select("doc_id", "n_shingles", "set_hash", "set_check"), "names")
+    scratch.drop_named("signed", "reps")
 
     posted = sets.select(F.col("rep").alias("doc"), F.explode("keys").alias("key"))
     lists = scratch.save(posted.groupBy("key").agg(F.count("*").alias("len")).where("len > 1"), "lists")
@@ -217,6 +220,7 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     # rank 1 is the longest list; a set in fewer than T shared lists agrees with none on T coordinates
     postings = posted.join(lists, "key").withColumn("rank", F.row_number().over(doc.orderBy(F.desc("len"), "key"))).withColumn("score", F.sum(F.log("len")).over(doc)).withColumn("shared", F.count("*").over(doc)).where(f"shared >= {T}")
     postings = scratch.save(postings.drop("shared"), "postings")
+    scratch.drop_named("lists")
     eligible = scratch.save(postings.where("rank = 1").select(F.col("doc").alias("doc_id")), "eligible")
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts = scratch.save(semi_join(source, eligible, "doc_id"), "texts")
@@ -230,6 +234,8 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     lanes = sets.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), *(F.col("lanes")[i].alias(f"l{i}") for i in range(words)))
     prefix = postings.where(f"rank >= {T}").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc"))
     prefix = scratch.save(prefix.join(lanes, "doc").select("doc", "n", "key", "len", "class", *(f"l{i}" for i in range(words))), "prefix")
+    scratch.drop_named("postings", "hubs")
+    scratch.release()
     short = prefix.where(f"len <= {p.long}")
     cond = F.expr(f"a.key = b.key and a.doc < b.doc and a.class <> b.class and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)") & (_agreeing(words) >= p.agreeing)
     pairs = short.alias("a").join(short.alias("b"), cond).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
@@ -255,7 +261,7 @@ def _numbered(df: DataFrame, p: NearDuplicates, scratch: Scratch) -> tuple[DataF
     """(df with _row, a number of its own for each row; (_row, id, n_shingles, component) of the rows with a doc_id), both written."""
     rows = scratch.save(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     known = rows.where("doc_id is not null")
-    found = near_duplicates(known.select(F.col("_row").alias("doc_id"), "text"), p, scratch)
+    found = near_duplicates(known.select(F.col("_row").alias("doc_id"), "text"), p, scratch, unique=True)
     ids = known.select("_row", F.col("doc_id").cast("long").alias("id"))
     found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("component")).join(ids, "_row")
     return rows, scratch.save(found, "judged")

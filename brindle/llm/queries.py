@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dedup, passages, quality, sharding, substring, tokenfiles, topk, toxicity
+from . import bpe, chat, decontaminate, near_dedup, quality, sharding, substring, tokenfiles, topk, toxicity
 from .labelled import remainder
 from .util import Scratch
 
@@ -77,13 +77,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of 20 words or more that repeats in all documents, with its cluster."""
-    return substring.repeated_paragraphs(table(spark, sf_dir, "documents"))
-
-
-def op10_substring_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every verbatim passage of 50 words or more that repeats in all documents, wherever lines begin and end."""
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    """Every line of 20 words or more and every passage of 50 words or more that repeats in all documents, as spans of characters."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("first_doc_id")
 
 
 QUERIES = {
@@ -99,7 +94,6 @@ QUERIES = {
         op8_exact_top_k,
         op9_sharding,
         op10_substring_dedup,
-        op10_substring_passages,
     )
 }
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

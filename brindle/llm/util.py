@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/brindle-{what}-{uuid.uuid4().hex}"
         self.n = 0
+        self.last: dict[str, str] = {}
         _made.append((spark, self.path))
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -69,7 +71,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t") -> str:
         self.n += 1
-        path = f"{self.path}/{self.n}-{name}"
+        path = self.last[name] = f"{self.path}/{self.n}-{name}"
         # texts are worth the stronger codec; each of its streams takes native memory, beside the heap
         df.write.option("compression", "zstd" if "text" in df.columns else "snappy").parquet(path)
         return path
@@ -77,6 +79,17 @@ class Scratch:
     def drop(self, name_or_path: str) -> None:
         _delete(self.spark, name_or_path if "/" in name_or_path else f"{self.path}/{name_or_path}")
 
+    def drop_named(self, *names: str) -> None:
+        """Deletes the tables saved last under these names; nothing may read them any more."""
+        for name in names:
+            if name in self.last:
+                self.drop(self.last.pop(name))
+
+    def release(self) -> None:
+        """Lets executors delete the shuffle files of jobs that have ended: Spark does so when the driver's JVM collects their handles."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):

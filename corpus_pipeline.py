@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontaminate, near_dedup, passages, quality, substring
+from brindle.llm import bpe, decontaminate, near_dedup, quality, substring
 from brindle.llm.queries import VOCABULARY
 from brindle.llm.util import Scratch
 
@@ -27,11 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts paragraphs, then verbatim passages of 50 words or more, that repeat from all documents but the first; documents that lose everything go."""
-    scratch, paragraphs = Scratch(spark, "pipeline"), Scratch(spark, "substring")
-    lines = scratch.save(substring.without_repeats(docs, scratch=paragraphs), "lines")
-    paragraphs.drop(paragraphs.path)
-    return passages.without_passages(lines, scratch=scratch)
+    """Cuts lines of 20 words and passages of 50 words or more that repeat from all documents but the first; documents that lose everything go."""
+    return substring.without_repeats(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

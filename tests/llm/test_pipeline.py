@@ -50,7 +50,7 @@ def test_each_stage(spark, prose, edited, tmp_path, other):  # noqa: F811
 
     kept = [(i, t) for i, t in rows if i in want]
     cut = stage["repeated_paragraphs"](spark, table(spark, kept), sf)
-    gone = {k for k, v in test_substring.brute(kept).items() if v[1]}
+    gone = {k for k, v in test_substring.brute_lines(kept).items() if v[1]}
     texts = {(i, "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)) for i, t in kept}
     assert known(cut) == {x for x in texts if x[1].strip()} and cut.schema == docs.schema
 
