@@ -116,7 +116,7 @@ def test_runs_against_brute_force(documents, prose, edited):
     rows = run_corpus(prose, edited)
     got = substring.repeated_passages(documents(rows)).collect()
     gone = check(got, rows)
-    assert {21, 24, 30, 34, 41, 50, 51, 52, 53, 61, 76, 85} <= set(gone) and not {r.doc_id for r in got} & {*range(1, 10), 54, 56}
+    assert {21, 24, 30, 34, 41, 50, 51, 52, 53, 61, 76, 85} <= set(gone) and not {r.doc_id for r in got} & {*range(1, 10), 56}
 
 
 def test_rebuilt_texts(documents, prose, edited):
