@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, near_dedup, quality, sharding, substring, tokenfiles, topk, toxicity
 from .labelled import remainder
-from .util import Scratch
+from .util import Scratch, scratch_root
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -34,10 +37,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as sequences of 512 ids in 64 shards in the shared folder; a row for each sequence."""
-    scratch = Scratch(spark, "tokens")
+    """All documents as sequences of 512 ids in shards of 32 MB in the shared folder; a row for each sequence.
+
+    The folder is named after the input's path and contents and outlives the session; a
+    second run over the same files finds its shards there.
+    """
     settings = tokenfiles.Settings(VOCABULARY, public_tokenizers.PATTERN)
-    return tokenfiles.write(table(spark, sf_dir, "documents"), f"{scratch.path}/shards", settings, scratch)
+    documents, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "tokens")
+    planned = tokenfiles.plan(documents, settings, scratch)
+    name = hashlib.sha256(json.dumps([sf_dir, planned[2]], sort_keys=True).encode()).hexdigest()[:32]
+    return tokenfiles.write(documents, f"{scratch_root(spark)}/brindle-shards/{name}", settings, scratch, planned=planned)
 
 
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
+import glob
+import os
 import zlib
 
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from brindle.llm import tokenfiles
-from brindle.llm.queries import VOCABULARY
+from brindle.llm.queries import VOCABULARY, op2_token_files
 
-S = tokenfiles.Settings(VOCABULARY, public_tokenizers.PATTERN, length=16, shards=4)
+S = tokenfiles.Settings(VOCABULARY, public_tokenizers.PATTERN, length=16, shard_bytes=32 * 40)
 
 
 def test_round_trip(documents, prose, tmp_path):
@@ -30,8 +34,6 @@ def test_round_trip(documents, prose, tmp_path):
 
 
 def test_resumes_and_repeats(documents, prose, tmp_path):
-    import os
-
     rows = documents([(i, prose(i, 30)) for i in range(20)])
     folder = f"file://{tmp_path}/s"
     first = sorted(map(tuple, tokenfiles.write(rows, folder, S).collect()), key=str)
@@ -45,6 +47,74 @@ def test_resumes_and_repeats(documents, prose, tmp_path):
     assert not [f for f in os.listdir(f"{tmp_path}/s") if f.startswith(".shard") and not f.endswith(".crc")]
 
 
+def brute_feistel(number, rows, seed):
+    """The place of a number by a plain Feistel network, walked until it is below rows; xxhash64 is Spark's."""
+    bits = max(2, (rows - 1).bit_length())
+    low = bits // 2
+
+    def spark_hash(*values):
+        h = 42
+        for v, wide in zip(values, (8, 8, 4)):
+            h = xxhash.xxh64_intdigest(v.to_bytes(wide, "little"), seed=h)
+        return h
+
+    while True:
+        left, right = number >> low, number & ((1 << low) - 1)
+        for k in range(4):
+            if k % 2 == 0:
+                left ^= spark_hash(right, seed, k) & ((1 << (bits - low)) - 1)
+            else:
+                right ^= spark_hash(left, seed, k) & ((1 << low) - 1)
+        number = left << low | right
+        if number < rows:
+            return number
+
+
+def test_order_and_places(spark, documents, prose, tmp_path):
+    rows = [(i, prose(i, 5 * (i % 17))) for i in range(120)]
+    documents(rows, clash=False).repartition(3).write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/in")
+    key = "spark.sql.files.maxPartitionBytes"
+    was, made = spark.conf.get(key), []
+    for k, size in enumerate(("128m", "2k", "700")):
+        spark.conf.set(key, size)
+        try:
+            df = spark.read.parquet(f"{tmp_path}/in")
+            index = tokenfiles.write(df, f"file://{tmp_path}/out{k}", S).collect()
+        finally:
+            spark.conf.set(key, was)
+        files = sorted(glob.glob(f"{tmp_path}/out{k}/shard-*"))
+        made.append((sorted(map(tuple, index)), [(os.path.basename(f), open(f, "rb").read()) for f in files]))
+    assert made[0] == made[1] == made[2] and len(made[0][1]) > 4
+    # number, slot, shard and record of each sequence by hand
+    order = [r.doc_id for f in sorted(glob.glob(f"{tmp_path}/in/*.parquet")) for r in spark.read.parquet(f).coalesce(1).collect()]
+    size = {d: len(tokenfiles.sequences(t, S)) for d, t in rows}
+    total, number = sum(size.values()), {}
+    for d in order:
+        for k in range(size[d]):
+            number[d, k] = len(number)
+    for r in index:
+        slot = brute_feistel(number[r.doc_id, r.sequence], total, S.seed)
+        assert (r.slot, r.shard, r.record) == (slot, slot // S.per_shard, slot % S.per_shard)
+
+
+def test_second_run_reads_what_is_there(spark, documents, prose, tmp_path):
+    documents([(i, prose(i, 30)) for i in range(20)], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    first = op2_token_files(spark, str(tmp_path))
+    folder = first.inputFiles()[0].rsplit("/index/", 1)[0].removeprefix("file://")
+    was = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/*")}
+    assert sorted(map(tuple, op2_token_files(spark, str(tmp_path)).collect())) == sorted(map(tuple, first.collect()))
+    assert was == {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/*")} and len(was) > 3
+
+
+def test_changed_texts_are_noticed(spark, documents, prose, tmp_path):
+    documents([(1, "one two")], clash=False).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    planned = tokenfiles.plan(df, S)
+    changed = (planned[0].withColumn("_text", F.lit("two one")), *planned[1:])
+    with pytest.raises(Exception, match="has changed"):
+        tokenfiles.write(df, f"file://{tmp_path}/o", S, planned=changed)
+
+
 def test_empty(documents, tmp_path):
     assert tokenfiles.write(documents([]), f"file://{tmp_path}/e", S).collect() == []
 
