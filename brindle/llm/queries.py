@@ -149,24 +149,28 @@ FROM m JOIN p USING (id) JOIN p h ON h.id = m.component WHERE m.members > 1
 """,
     "op4_chat_rotation": """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
-  FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS pos FROM t
 ), p AS (
-  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS DISTINCT FROM 'system'
+), c AS (
+  SELECT *, pos // 64 AS part, true AS own FROM n
+  UNION ALL SELECT *, pos // 64 + 1, false FROM n WHERE pos % 64 >= 56
+  UNION ALL SELECT n.*, x.part, false FROM n
+    JOIN (SELECT DISTINCT conv_id, pos // 64 AS part FROM n WHERE pos >= 64) x USING (conv_id) WHERE n.pos = 0 AND n.role = 'system'
 ), s AS (
-  SELECT conv_id, speaker, n.pos // 64 AS part, n.pos, text, role,
-    CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-         ELSE '<|user:' || role || '|>' || chr(10) END AS head
-  FROM n JOIN p USING (conv_id)
+  SELECT c.conv_id, speaker, part, pos, own, text, coalesce(own AND role IS NOT DISTINCT FROM speaker, false) AS trained,
+    CASE WHEN role IS NOT DISTINCT FROM speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' WHEN role IS NULL THEN '<|user|>'
+         ELSE '<|user:' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' END || chr(10) AS head
+  FROM c JOIN p ON p.conv_id = c.conv_id
 ), e AS (
   SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM s
 )
-SELECT conv_id, speaker, CAST(part AS INTEGER) AS part, count(*) AS n_turns,
+SELECT conv_id, speaker, CAST(part AS INTEGER) AS part, count(*) FILTER (WHERE own) AS n_turns,
   string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) AS text,
-  coalesce(string_agg(CASE WHEN role = speaker THEN (stop - length(text) - 8)::VARCHAR || '-' || stop::VARCHAR END, ',' ORDER BY pos), '') AS train_spans
-FROM e GROUP BY conv_id, speaker, part
+  coalesce(string_agg(CASE WHEN trained THEN (stop - length(text) - 8)::VARCHAR || '-' || stop::VARCHAR END, ',' ORDER BY pos), '') AS train_spans
+FROM e GROUP BY conv_id, speaker, part HAVING bool_or(own)
 """,
     "op7_decontamination": r"""
 WITH d AS (
