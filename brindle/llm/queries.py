@@ -134,19 +134,48 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id)
 FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN components c ON c.id = d.doc_id
 """,
     "op10_substring_dedup": r"""
-WITH RECURSIVE p AS MATERIALIZED (
-  SELECT *, row_number() OVER (ORDER BY doc_id, paragraph) AS id FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph
-    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+WITH RECURSIVE texts AS (
+  SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM texts
+), p AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id FROM (
+    SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
   WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 20
 ), """
     + _SHINGLES.strip().format(source="p", width=5)
     + """
-, m AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM components)
-SELECT p.doc_id, CAST(p.paragraph AS INTEGER) AS paragraph, h.doc_id AS cluster_doc_id,
-  CAST(h.paragraph AS INTEGER) AS cluster_paragraph, p.id <> h.id AS removed
-FROM m JOIN p USING (id) JOIN p h ON h.id = m.component WHERE m.members > 1
-""",
+, m AS (
+  SELECT id, component, count(*) OVER (PARTITION BY component) AS members FROM components
+), found_lines AS (
+  SELECT p.doc_id, 'line' AS unit, p.before + length(p.text) - length(ltrim(p.text, {blanks})) AS "begin", p.before + length(rtrim(p.text, {blanks})) AS "end",
+    len(regexp_extract_all(p.text, '[^\x20\x09-\x0D]+')) AS words, p.id <> m.component AS removed
+  FROM m JOIN p USING (id) WHERE m.members > 1
+), word AS MATERIALIZED (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (
+    SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+    FROM (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces FROM texts))
+), lists AS (
+  SELECT doc_id, list({lower} ORDER BY k) AS w FROM (SELECT doc_id, k, ltrim(piece, {blanks}) AS text FROM word) GROUP BY doc_id
+), runs AS MATERIALIZED (
+  SELECT doc_id, k, doc_id * 268435456 + k AS place, md5(array_to_string(w[k : k + 49], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS k FROM lists WHERE len(w) >= 50)
+), marked AS (
+  SELECT doc_id, k, place - a >= 50 AS removed, z - a >= 50 AS again
+  FROM runs JOIN (SELECT g, min(place) AS a, max(place) AS z FROM runs GROUP BY g) USING (g)
+), islands AS (
+  SELECT *, sum(CASE WHEN k > was + 50 OR was IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, removed ORDER BY k) AS island
+  FROM (SELECT doc_id, k, removed, lag(k) OVER (PARTITION BY doc_id, removed ORDER BY k) AS was FROM marked WHERE removed OR again)
+), stretches AS (
+  SELECT doc_id, removed, min(k) AS first, max(k) + 49 AS last FROM islands GROUP BY doc_id, removed, island
+), found AS (
+  SELECT * FROM found_lines
+  UNION ALL
+  SELECT s.doc_id, 'passage', x.stop - length(ltrim(x.piece, {blanks})), y.stop, last - first + 1, removed
+  FROM stretches s JOIN word x ON x.doc_id = s.doc_id AND x.k = first JOIN word y ON y.doc_id = s.doc_id AND y.k = last
+)
+SELECT doc_id, unit, CAST("begin" AS INTEGER) AS "begin", CAST("end" AS INTEGER) AS "end", CAST(words AS INTEGER) AS words, removed FROM found
+""".replace("{blanks}", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)").replace("{lower}", _LOWER.format("text")),
     "op4_chat_rotation": """
 WITH t AS (
   SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL
