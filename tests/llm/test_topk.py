@@ -70,3 +70,19 @@ def test_blocks_are_pruned():
         blocks.append(topk._Block({"n": n, "dim": dim, "kind": kind, "ids": ids, "forward": forward, "low": low, "high": high}))
     *_, work = topk.search(blocks[:2], blocks, 5)
     assert work < 0.3 * 128 * 64 * 20
+
+
+def test_clustered_vectors_are_pruned_and_others_are_not(spark):
+    rng = np.random.default_rng(1)
+    near = np.repeat(rng.normal(size=(40, 16)) * 3, 50, 0) + rng.normal(size=(2000, 16)) * 0.02
+    far = rng.normal(size=(2000, 16))
+    share = []
+    for x in (near, far):
+        rows = [(int(i), v.astype(np.float32).tolist()) for i, v in zip(rng.permutation(2000), x)]
+        df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], KIND)
+        report = {}
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), Settings(block=32), report=report)
+        assert {tuple(r) for r in got.collect()} == brute(rows, [r for r in rows if r[0] % 50 == 0])
+        share.append(report["scored"] / report["all"])
+        assert report["all"] == 2000 * 40
+    assert share[0] < 0.35
