@@ -11,12 +11,16 @@ agreeing lanes are confirmed on their full shingle sets.
 Very long lists are never paired with themselves. First each set meets only the most
 central set of each of its lists (so that a group of n copies costs n comparisons), and
 confirmed links form preliminary classes. Only pairs of different classes are sought
-after that: in short lists by the prefix join, and among the sets whose prefix reaches
-into long lists by an exact prefix join over their shingles.
+after that: in short lists by the prefix join. Sets whose prefix reaches into long lists
+are posted anew, under r further coordinates together, r growing with the logarithm of the
+longest list, so that lists of sets that are merely related fall apart; there are as many
+such keys as the bound needs (a pair at it is missed once in 10^8). Again each set meets
+the first set of its lists before pairs of different classes do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +35,8 @@ from .util import Scratch, components, semi_join, small_batches
 
 LANES, LANE_BITS = 7, 9
 BITMAP = 16  # numbers of 64 bits
+#: The most coordinates of a key that splits long lists, and how many of its first sets a set is compared with before the others.
+MOST_ROWS, FIRST_SETS = 12, 3
 #: Pairs of whole texts that a worker holds.
 PAIRS_AT_ONCE = 64
 
@@ -41,7 +47,8 @@ class NearDuplicates:
 
     Sets are posted under coordinates / rows keys, each of rows coordinates together (bands
     if that is over 1). Candidates share matches keys or more, and agree in agreeing lanes
-    or more. Lists longer than long are taken the exact way.
+    or more. Lists longer than long are split by further coordinates; miss is the share of
+    pairs at the bound that this may lose.
     """
 
     width: int = 5
@@ -51,6 +58,7 @@ class NearDuplicates:
     matches: int = 13
     agreeing: int = 13
     long: int = 64
+    miss: float = 1e-8
 
     def __post_init__(self):
         if self.coordinates % LANES or self.coordinates % self.rows:
@@ -107,11 +115,6 @@ def _agreeing(words: int):
     return same
 
 
-def _fits(p: NearDuplicates, both: str, x: str, y: str):
-    """The bound p.percent for an intersection of size both."""
-    return F.expr(f"100 * ({both}) >= {p.percent} * ({x} + {y} - ({both}))")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the bound, written."""
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -141,53 +144,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: S
         return scratch.save(two.select("a", "b", "ta", "tb").mapInArrow(tk.tidy(run), "a long, b long"), "confirmed")
 
 
-def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
-    """Pairs of different classes among members (doc_id, class, size, n), by an exact prefix join over their shingles.
+def _long_list_links(inside: DataFrame, texts: DataFrame, links: DataFrame, longest: int, p: NearDuplicates, scratch: Scratch) -> DataFrame:
+    """Links between sets of long lists (inside: doc_id, n, l*) beyond those that links already connect.
 
-    What a set shares with any other is at most m, its shingles that some other member has:
-    sets with less than the bound in common with anything go first. The others are posted
-    under their smallest shingle hashes. Of an indexed set only the first n - ceil(2s/(1+s) n)
-    + 1 can be the first one shared with an equal or larger set, of a probing set the first
-    n - ceil(s n) + 1. Pairs that meet must still pass the bounds from sizes, from m, and
-    from parity bitmaps: two sets differ in at least as many shingles as bits.
+    The longest list has longest sets. Pairs that meet must pass the bounds from sizes, from
+    lanes, and from parity bitmaps: two sets differ in at least as many shingles as bits.
     """
-    own = scratch.save(texts.select("doc_id", "text").join(members, "doc_id"), "own")
+    rows = min(MOST_ROWS, max(4, math.ceil(math.log2(longest))))
+    many = math.ceil(-math.log(p.miss) / (p.percent / 100) ** rows)
+    own = scratch.save(texts.join(inside.select("doc_id"), "doc_id"), "own")
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def all_shingles(batches):
-        for piece, values, begin in p.sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(piece.column(0)), np.diff(begin))), pa.array(values.view(np.int64))], names=["doc_id", "s"])
-
-    def prefixes(batches):
+    def sketch(batches):
         for piece, values, begin in p.sets(batches):
             n = np.diff(begin)
             count = np.zeros((len(n), 64 * BITMAP), np.int64)
             np.add.at(count, (np.repeat(np.arange(len(n)), n), (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
             bits = np.packbits((count & 1).astype(np.uint8), axis=1).view(np.int64)
-            probe, index = (n - -(-x * n // y) + 1 for x, y in ((p.percent, 100), (2 * p.percent, 100 + p.percent)))
-            rows = np.repeat(np.arange(len(n)), probe)
-            r = np.arange(len(rows)) - np.repeat(np.cumsum(probe) - probe, probe)
-            columns = [c.take(pa.array(rows)) for c in piece.select(["doc_id", "class", "size", "m"]).columns]
-            more = [n[rows], values[begin[:-1][rows] + r].view(np.int64), *(bits[rows, i] for i in range(BITMAP))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(r < index[rows]), *map(pa.array, more)], names=names)
-
-    # dealt evenly, as each text becomes as many rows as it has shingles
-    alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(tk.tidy(all_shingles), "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
-    known = own.join(scratch.save(alone, "alone"), "doc_id", "left")
-    known = known.withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * m >= {p.percent} * n")
-    names = ["doc_id", "class", "size", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
-    kinds = "doc_id long, class long, size long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
-    rows = scratch.save(known.select("doc_id", "text", "class", "size", "m").repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
-    largest = rows.groupBy("s").agg(F.max(F.struct("size", "class")).alias("top"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
-    largest = scratch.save(largest.select("s", F.col("top.class").alias("top")), "largest")
-    rows = scratch.save(rows.join(largest, "s").withColumn("outside", F.col("class") != F.col("top")), "met")
-    sizes = f"(a.n > b.n or a.n = b.n and a.doc_id <> b.doc_id) and 100 * b.n >= {p.percent} * a.n"
+            for low in range(0, len(n), 256):
+                part = begin[low : low + 257]
+                sig = tk.mix(tk.signatures(values[part[0] : part[-1]], part - part[0], many * rows, seed=11))
+                keys = np.tile(np.arange(many, dtype=np.uint64), (len(sig), 1))
+                for k in range(rows):
+                    keys = tk.mix(keys + sig[:, k::rows])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, many, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column(0)[low : low + 256], lists, *(pa.array(bits[low : low + 256, i].copy()) for i in range(BITMAP))], names=["doc_id", "keys", *(f"p{i}" for i in range(BITMAP))])
+
+    kinds = "doc_id long, keys array<long>, " + ", ".join(f"p{i} long" for i in range(BITMAP))
+    # dealt evenly, as each text takes far longer than to read
+    made = scratch.save(own.repartition(tasks).select("doc_id", "text").mapInArrow(tk.tidy(sketch), kinds), "sketch")
+    about = scratch.save(inside.join(made.drop("keys"), "doc_id"), "about")
+    posted = made.select("doc_id", F.explode("keys").alias("key"))
+    shared = scratch.save(posted.groupBy("key").agg(F.count("*").alias("len"), F.min("doc_id").alias("hub")).where("len > 1").select("key", "hub"), "shared")
+    posted = scratch.save(posted.join(shared, "key"), "split")
     apart = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(BITMAP))
-    near = f"{100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)"
-    cond = F.expr(f"a.s = b.s and a.class <> b.class and {sizes}") & _fits(p, "least(a.m, b.m)", "a.n", "b.n") & F.expr(near)
-    index = rows.where("index")
-    pairs = [x.alias("a").join(y.alias("b"), cond).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")) for x, y in ((rows.where("outside"), index), (rows.where("not outside"), index.where("outside")))]
-    return pairs[0].union(pairs[1]).distinct()
+    near = F.expr(f"{100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)") & F.expr(f"100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(about.alias("a"), F.col("x") == F.col("a.doc_id")).join(about.alias("b"), F.col("y") == F.col("b.doc_id"))
+        return both.where(near & (_agreeing(p.coordinates // LANES) >= p.agreeing)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    met = posted.where("doc_id <> hub").groupBy(F.col("doc_id").alias("x"), F.col("hub").alias("y")).agg(F.count("*").alias("c"))
+    best = Window.partitionBy("x").orderBy(F.desc("c"), "y")
+    first = _confirmed(scratch.save(close(met.withColumn("r", F.row_number().over(best)).where(f"r <= {FIRST_SETS}").select("x", "y")), "first"), own, p, scratch)
+    classes = components(links.union(first), scratch)
+    classed = posted.select("doc_id", "key").join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "key", F.coalesce("component", "doc_id").alias("class"))
+    classed = scratch.save(classed, "classed")
+    # the class of most sets in a list needn't meet itself
+    sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    sizes = scratch.save(sizes.select("key", F.col("top.class").alias("top")), "largest")
+    rest = scratch.save(classed.join(sizes, "key").withColumn("outside", F.col("class") != F.col("top")), "met")
+    a, b = rest.where("outside").alias("a"), rest.alias("b")
+    pairs = a.join(b, F.expr("a.key = b.key and a.class <> b.class and (not b.outside or a.doc_id < b.doc_id)")).select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct()
+    return first.union(_confirmed(scratch.save(close(pairs), "close"), own, p, scratch))
 
 
 def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None, unique: bool = False) -> DataFrame:
@@ -239,12 +248,12 @@ def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch
     short = prefix.where(f"len <= {p.long}")
     cond = F.expr(f"a.key = b.key and a.doc < b.doc and a.class <> b.class and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)") & (_agreeing(words) >= p.agreeing)
     pairs = short.alias("a").join(short.alias("b"), cond).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
-    inside = scratch.save(prefix.where(f"len > {p.long}").select(F.col("doc").alias("doc_id"), "class", "n").distinct(), "inside")
-    if inside.head(1):
-        sizes = scratch.save(inside.groupBy("class").agg(F.count("*").alias("size")), "sizes")
-        members = scratch.save(inside.join(sizes, "class").select("doc_id", "class", "size", "n"), "members")
-        pairs = pairs.union(_long_list_pairs(members, texts, p, scratch)).distinct()
     more = _confirmed(scratch.save(pairs, "pairs"), texts, p, scratch)
+    inside = prefix.where(f"len > {p.long}")
+    longest = inside.agg(F.max("len")).first()[0]
+    if longest:
+        inside = scratch.save(inside.select(F.col("doc").alias("doc_id"), "n", *(f"l{i}" for i in range(words))).distinct(), "inside")
+        more = more.union(_long_list_links(inside, texts, links.union(more), longest, p, scratch))
     final = components(links.union(more), scratch) if more.head(1) else classes
 
     of_set = scratch.save(sets.join(final, F.col("rep") == F.col("node"), "left").select("set_hash", "set_check", F.coalesce("component", "rep").alias("own")), "of_set")
