@@ -425,7 +425,10 @@ def _date_format(a, pattern, *_):
     if pattern.kind == "null":
         return null()
     if pattern.literal is None:
-        raise RequestError("the date format must be a constant")
+        p = to_str(pattern)
+        for mark, letters in DATE_MARKS:
+            p = F.replace(p, F.lit(mark), F.lit(letters))
+        return text(F.call_function("date_format", to_datetime(a), p))
     p = str(pattern.literal)
     for mark, letters in DATE_MARKS:
         p = p.replace(mark, letters)

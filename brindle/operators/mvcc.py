@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTENT = ("PUT", "DELETE")
@@ -107,9 +107,9 @@ def collect_garbage(versions: DataFrame, safe_point: int) -> DataFrame:
     if safe_point <= 0:
         raise ValueError("the safe point must be above 0")
     below = versions.where((F.col("commit_ts") <= safe_point) & F.col("op").isin(*CONTENT))
-    newest = Window.partitionBy("user_key").orderBy(F.desc("commit_ts"))
-    kept = below.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-    return versions.where(F.col("commit_ts") > safe_point).unionByName(kept)
+    # times alone are aggregated, in part before the shuffle, and versions met by key and time, so a hot key is no burden
+    newest = below.groupBy("user_key").agg(F.max("commit_ts").alias("commit_ts"))
+    return versions.where(F.col("commit_ts") > safe_point).unionByName(below.join(newest, ["user_key", "commit_ts"], "left_semi").select(*versions.columns))
 
 
 def delete_range(versions: DataFrame, low: Any, high: Any) -> DataFrame:

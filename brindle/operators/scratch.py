@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,6 +53,29 @@ class Files:
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
+    def create(self, p: str) -> bool:
+        """Makes an empty file; False if it is there already. As atomic as the file system's exclusive create."""
+        try:
+            self.fs.create(self.path(p), False).close()
+            return True
+        except Exception as e:
+            if self.exists(p) or "exists" in str(e):
+                return False
+            raise
+
+    def names(self, p: str) -> list[str]:
+        """Names in a folder, but for hidden ones."""
+        return [n for n in (f.getPath().getName() for f in self.fs.listStatus(self.path(p))) if n[0] not in "._"] if self.exists(p) else []
+
+    def age_seconds(self, p: str) -> float:
+        """0 if it isn't there."""
+        try:
+            return time.time() - self.fs.getFileStatus(self.path(p)).getModificationTime() / 1000
+        except Exception:
+            if self.exists(p):
+                raise
+            return 0.0
+
     def mkdirs(self, p: str) -> None:
         self.fs.mkdirs(self.path(p))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import of_column, to_str
+from .mvcc import check_locks
 from .scratch import running_total
 
 
@@ -36,12 +37,19 @@ def sample(df: DataFrame, column: str, key: str, size: int = 10_000, seed: int =
     return some.orderBy("_h").limit(size).select("value").orderBy("value")
 
 
-def checksum(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """One row: checksum, total_kvs, total_bytes.
+def approximate_size(df: DataFrame) -> int:
+    """Bytes of df, as the optimizer estimates them from the files it reads; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def checksum(df: DataFrame, key: str = "key", value: str = "value", locks: DataFrame | None = None, read_ts: int | None = None) -> DataFrame:
+    """One row: checksum, total_kvs, total_bytes. With locks, one that may still commit by read_ts raises KeyLocked.
 
     The checksum is the exclusive-or of each pair's crc32 over key and value, so parts of a
     range can be summed up on their own and in any order.
     """
+    if locks is not None:
+        check_locks(locks, 2**63 - 1 if read_ts is None else read_ts)
     k, v = F.col(key).cast("binary"), F.coalesce(F.col(value).cast("binary"), F.lit(b""))
     return df.agg(
         F.coalesce(F.bit_xor(F.crc32(F.concat(k, v))), F.lit(0)).cast("bigint").alias("checksum"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
@@ -86,7 +86,10 @@ def _aggregate(df: DataFrame, scope: Scope, request: ir.Request, order: list[str
         return agg.partial(flat, groups, calls, order, request.collation)
     out = flat.groupBy(*groups).agg(*(agg.column(c, order, request.collation) for c in calls)) if calls else flat.groupBy(*groups).agg(F.count("*").alias("_n")).drop("_n")
     if request.max_groups is not None and groups:
-        out = out.limit(request.max_groups + 1)
+        # one row more than allowed shows an excess, and no more than that are ever put together
+        some = out.limit(request.max_groups + 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+        excess = F.raise_error(F.lit(f"more than {request.max_groups} groups")).cast("boolean")
+        out = some.where(F.when(F.col("_n") <= request.max_groups, F.lit(True)).otherwise(excess)).drop("_n")
     return out
 
 

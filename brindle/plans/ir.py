@@ -267,7 +267,7 @@ class OrderBy:
 
 @dataclass(frozen=True)
 class KeyRange:
-    """[low, high) of handles or of an index's first column; None is open."""
+    """[low, high) of handles, or of an index's first columns, as a value or a tuple; None is open."""
 
     low: Any = None
     high: Any = None

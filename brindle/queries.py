@@ -26,7 +26,7 @@ TABLES = {
     "customer": ("c_custkey", {"by_segment": ("c_mktsegment",)}),
     "supplier": ("s_suppkey", {}),
     "part": ("p_partkey", {}),
-    "orders": ("o_orderkey", {"by_customer": ("o_custkey",)}),
+    "orders": ("o_orderkey", {"by_customer": ("o_custkey",), "by_status": ("o_orderstatus", "o_custkey")}),
     "lineitem": (None, {}),
     "events": ("event_id", {}),
     "documents": ("doc_id", {}),
@@ -288,12 +288,33 @@ _request("index_lookup_filter", Request("orders", index=IndexSpec("by_customer",
 _request("index_desc", Request("orders", index=IndexSpec("by_customer"), columns=("o_custkey", "o_orderkey"), desc_scan=True, limit=30), "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 30")
 
 
-@_query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey >= 20 AND o_custkey < 40")
+def _stored(spark, sf_dir, index: str) -> Catalog:
+    """A catalog in which an index of orders is a table of its own."""
+    c = catalog(spark, sf_dir)
+    scans.store_index(c["orders"], index, scratch.new_folder(spark, "index"))
+    return c
+
+
+@_query(f"SELECT {_O} FROM orders WHERE o_custkey >= 20 AND o_custkey < 40")
 def index_double_read(spark, sf_dir):
-    """An index kept as a table of its own, joined back to its rows."""
-    t = catalog(spark, sf_dir)["orders"]
-    entries = scratch.stable(scans.index_scan(t, "by_customer", (KeyRange(20, 40),)), "index")
-    return scans.lookup(entries, t.df.select(*ORDER_COLUMNS), "o_orderkey")
+    """A stored index's entries, joined back to their rows."""
+    return compile_request(Request("orders", index=IndexSpec("by_customer", True), columns=ORDER_COLUMNS, ranges=(KeyRange(20, 40),)), _stored(spark, sf_dir, "by_customer"))
+
+
+_PREFIX = (KeyRange(("F", 100), ("O", 50)), KeyRange("P", ("P", 30)))
+_PREFIX_SQL = "(o_orderstatus = 'F' AND o_custkey >= 100 OR o_orderstatus > 'F' AND o_orderstatus < 'O' OR o_orderstatus = 'O' AND o_custkey < 50 OR o_orderstatus = 'P' AND o_custkey < 30)"
+
+
+@_query(f"SELECT o_orderstatus, o_custkey, o_orderkey FROM orders WHERE {_PREFIX_SQL}")
+def index_prefix(spark, sf_dir):
+    """Ranges over two columns of a stored index, which is read alone."""
+    return compile_request(Request("orders", index=IndexSpec("by_status"), columns=("o_orderstatus", "o_custkey", "o_orderkey"), ranges=_PREFIX), _stored(spark, sf_dir, "by_status"))
+
+
+@_query(f"SELECT {_O} FROM orders WHERE {_PREFIX_SQL} ORDER BY o_orderstatus, o_custkey, o_orderkey LIMIT 60")
+def index_prefix_lookup(spark, sf_dir):
+    """The first rows, in index order, of ranges over two columns."""
+    return compile_request(Request("orders", index=IndexSpec("by_status", True), columns=ORDER_COLUMNS, ranges=_PREFIX, limit=60), _stored(spark, sf_dir, "by_status"))
 
 
 # collation
@@ -363,12 +384,20 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _V = "(SELECT user_id AS user_key, event_id + 1 AS commit_ts, event_id AS start_ts, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, value FROM events)"
 _LATEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY commit_ts DESC) AS n FROM {_V} WHERE commit_ts <= {{ts}} AND commit_ts > {{after}}) WHERE n = 1)"
-_SNAP = f"SELECT user_key, value FROM {_LATEST.format(ts=500, after=-1)} WHERE op = 'PUT'"
-_query(_SNAP, "mvcc_snapshot_scan")(lambda spark, sf_dir: mvcc.snapshot(versions(spark, sf_dir), 500))
-_query(f"{_SNAP} AND user_key IN (3, 14, 77, 100000)", "mvcc_snapshot_get")(lambda spark, sf_dir: mvcc.batch_get(versions(spark, sf_dir), [3, 14, 77, 100000], 500))
-_query(f"{_SNAP} AND user_key >= 10 AND user_key < 90 ORDER BY user_key DESC LIMIT 15", "mvcc_reverse_scan")(lambda spark, sf_dir: mvcc.scan(versions(spark, sf_dir), 500, 10, 90, 15, reverse=True))
+_HALF, _ALL, _QUARTER = (f"(SELECT max(event_id) * {n} // 4 FROM events)" for n in (2, 4, 1))
+_SNAP = f"SELECT user_key, value FROM {_LATEST.format(ts=_HALF, after=-1)} WHERE op = 'PUT'"
+
+
+def _time(spark, sf_dir, quarters: int = 2) -> int:
+    """A timestamp so many quarters into the log."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] * quarters // 4
+
+
+_query(_SNAP, "mvcc_snapshot_scan")(lambda spark, sf_dir: mvcc.snapshot(versions(spark, sf_dir), _time(spark, sf_dir)))
+_query(f"{_SNAP} AND user_key IN (3, 14, 77, 100000)", "mvcc_snapshot_get")(lambda spark, sf_dir: mvcc.batch_get(versions(spark, sf_dir), [3, 14, 77, 100000], _time(spark, sf_dir)))
+_query(f"{_SNAP} AND user_key >= 10 AND user_key < 90 ORDER BY user_key DESC LIMIT 15", "mvcc_reverse_scan")(lambda spark, sf_dir: mvcc.scan(versions(spark, sf_dir), _time(spark, sf_dir), 10, 90, 15, reverse=True))
 _query(f"SELECT * FROM {_V} WHERE user_key = 14", "mvcc_history")(lambda spark, sf_dir: mvcc.history(versions(spark, sf_dir), 14))
-_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_V} WHERE commit_ts > 500 UNION ALL SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=500, after=-1)}", "mvcc_gc")(lambda spark, sf_dir: mvcc.collect_garbage(versions(spark, sf_dir), 500))
+_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_V} WHERE commit_ts > {_HALF} UNION ALL SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=_HALF, after=-1)}", "mvcc_gc")(lambda spark, sf_dir: mvcc.collect_garbage(versions(spark, sf_dir), _time(spark, sf_dir)))
 _query(f"SELECT * FROM {_V} WHERE NOT (user_key >= 20 AND user_key < 60)", "mvcc_delete_range")(lambda spark, sf_dir: mvcc.delete_range(versions(spark, sf_dir), 20, 60))
 
 
@@ -377,19 +406,26 @@ def select_at_timestamp(spark, sf_dir):
     """A request with ranges and groups over a versioned table, as of a timestamp."""
     c = Catalog(spark)
     c.register_versions("accounts", versions(spark, sf_dir), "user_key")
-    r = Request("accounts", ranges=(KeyRange(5, 120),), read_ts=500, group_by=((col("value") > 50).named("high"),), aggregates=(Agg(AggType.COUNT, name="n"),))
+    r = Request("accounts", ranges=(KeyRange(5, 120),), read_ts=_time(spark, sf_dir), group_by=((col("value") > 50).named("high"),), aggregates=(Agg(AggType.COUNT, name="n"),))
     return compile_request(r, c)
 
 
 def _locks(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
-    return e.select(F.col("user_id").alias("user_key"), F.when(F.col("event_id") % 2 == 0, "PUT").otherwise("LOCK").alias("type"), F.col("event_id").alias("start_ts"), F.lit(3000).alias("ttl_ms"))
+    """A lock for each event: those of errors don't block."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("user_key"), F.when(F.col("event_type") == "error", "LOCK").otherwise("PUT").alias("type"), F.col("event_id").alias("start_ts"), F.lit(3000).alias("ttl_ms"))
 
 
-@_query("SELECT user_id AS user_key, event_id AS start_ts FROM events WHERE event_id % 97 = 0 AND event_id % 2 = 0 AND event_id <= 500")
+@_query(f"SELECT user_id AS user_key, event_id AS start_ts, 'KeyLocked' AS raised FROM events WHERE event_type <> 'error' AND event_id <= {_HALF}")
 def mvcc_lock_blocked(spark, sf_dir):
-    """Locks that a read at 500 waits for."""
-    return mvcc.blocking(_locks(spark, sf_dir), 500).select("user_key", "start_ts")
+    """Locks that a read in the middle of the log waits for, and what the read raises."""
+    ts, locks = _time(spark, sf_dir), _locks(spark, sf_dir)
+    try:
+        mvcc.snapshot(versions(spark, sf_dir), ts, locks)
+        raised = None
+    except mvcc.KeyLocked as e:
+        raised = type(e).__name__
+    return mvcc.blocking(locks, ts).select("user_key", "start_ts", F.lit(raised).alias("raised"))
 
 
 # raw keys
@@ -482,12 +518,48 @@ def txn_insert_exists(spark, sf_dir):
     return _shown(s.snapshot().where(F.col("user_key") == F.lit(bytearray(b"0001")))).select(F.lit(outcome).alias("outcome"), "v")
 
 
+@_query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS k, 'ROLLBACK' AS op, 'rolled back' AS outcome FROM nation WHERE n_nationkey IN (3, 7)")
+def txn_rollback_record(spark, sf_dir):
+    """A transaction whose locks expire is rolled back by whoever finds them, and can't commit after that."""
+    s = _store(spark, sf_dir)
+    t = s.begin()
+    t.put("0003", "x")
+    t.delete("0007")
+    t.prewrite()
+    s.resolve_expired(s.clock.now_ms() + 10 * s.TTL_MS)
+    try:
+        t.commit()
+    except txn.RolledBack:
+        pass
+    return mvcc.history(s.versions(), start_ts=t.start_ts).select(F.col("user_key").cast("string").alias("k"), "op", F.lit(t.outcome.value).alias("outcome"))
+
+
+@_query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS k, CASE WHEN n_nationkey = 3 THEN 'new' WHEN n_nationkey < 10 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_nationkey <> 12")
+def txn_lock_resolve(spark, sf_dir):
+    """Locks that a dead driver has left are committed at its timestamp, and then read."""
+    s = _store(spark, sf_dir)
+    t = s.begin()
+    t.put("0003", "new")
+    t.delete("0012")
+    t.prewrite()
+    s.resolve(t.start_ts, s.clock.next())
+    return _shown(s.snapshot())
+
+
+@_query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS k, CASE WHEN n_nationkey < 10 THEN lower(n_name) ELSE n_name END AS v FROM nation")
+def txn_store_gc(spark, sf_dir):
+    """What garbage collection leaves of a log: the last version of each key, and nothing else."""
+    s = _store(spark, sf_dir)
+    s.collect_garbage(s.clock.next())
+    return _shown(s.versions())
+
+
 # the change feed
 
-_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=900, after=200)}", "cdc_incremental")(lambda spark, sf_dir: cdc.incremental(versions(spark, sf_dir), 200, 900))
-_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=900, after=200)} WHERE user_key >= 30 AND user_key < 70", "cdc_key_range")(lambda spark, sf_dir: cdc.incremental(versions(spark, sf_dir), 200, 900, 30, 70))
-_query("SELECT min(event_id) - 1 AS resolved_ts FROM events WHERE event_id % 97 = 0 AND event_id > 0", "cdc_resolved_ts")(lambda spark, sf_dir: cdc.resolved_ts(versions(spark, sf_dir), _locks(spark, sf_dir).where("start_ts > 0")))
-_query(f"SELECT user_key, value FROM {_LATEST.format(ts=900, after=-1)} WHERE op = 'PUT'", "cdc_apply")(lambda spark, sf_dir: cdc.apply(mvcc.snapshot(versions(spark, sf_dir), 400), cdc.incremental(versions(spark, sf_dir), 400, 900)))
+_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=_ALL, after=_QUARTER)}", "cdc_incremental")(lambda spark, sf_dir: cdc.incremental(versions(spark, sf_dir), _time(spark, sf_dir, 1), _time(spark, sf_dir, 4)))
+_query(f"SELECT user_key, commit_ts, start_ts, op, value FROM {_LATEST.format(ts=_ALL, after=_QUARTER)} WHERE user_key >= 30 AND user_key < 70", "cdc_key_range")(lambda spark, sf_dir: cdc.incremental(versions(spark, sf_dir), _time(spark, sf_dir, 1), _time(spark, sf_dir, 4), 30, 70))
+_query(f"SELECT min(event_id) - 1 AS resolved_ts FROM events", "cdc_resolved_ts")(lambda spark, sf_dir: cdc.resolved_ts(versions(spark, sf_dir), _locks(spark, sf_dir)))
+_query(f"SELECT user_key, value FROM {_LATEST.format(ts=_ALL, after=-1)} WHERE op = 'PUT'", "cdc_apply")(lambda spark, sf_dir: cdc.apply(mvcc.snapshot(versions(spark, sf_dir), _time(spark, sf_dir)), cdc.incremental(versions(spark, sf_dir), _time(spark, sf_dir), _time(spark, sf_dir, 4))))
 
 
 @_query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS k, CASE WHEN n_nationkey < 10 THEN lower(n_name) ELSE n_name END AS v FROM nation")

@@ -86,11 +86,17 @@ class Service:
                 raise RequestError("an index scan needs an index")
             return compile_request(request, self.catalog)
         df = scans.table_scan(table, request.ranges, read_ts=request.read_ts)
+        if kind == RequestType.ANALYZE and "sample" in request.options:
+            if len(request.columns or ()) != 1 or not table.handle:
+                raise RequestError("a sample is of one column of a table with a handle")
+            return stats.sample(df, request.columns[0], table.handle, request.options["sample"])
         if kind == RequestType.ANALYZE:
             return stats.analyze(df, list(request.columns or df.columns), request.options.get("ndv_cap"), request.options.get("approximate", False))
         key, value = request.options.get("key", table.handle), request.options.get("value")
         if kind == RequestType.CHECKSUM:
             return stats.checksum(df, key, value)
+        if "size" not in request.options:
+            raise RequestError("split keys need a column of sizes")
         return stats.split_keys(df.select(key, request.options["size"]), request.paging_size or 2, key, request.options["size"])
 
     def handle(self, kind: int, request: Request, priority: str = "normal", deadline_s: float | None = None, cached: bool = False) -> list[Row]:
@@ -147,7 +153,8 @@ class Service:
         sc, began, late = self.catalog.spark.sparkContext, time.monotonic(), threading.Event()
         group = f"request-{uuid.uuid4().hex}"
         timer = None
-        self.counters.requests += 1
+        with self._lock:
+            self.counters.requests += 1
         try:
             sc.setLocalProperty("spark.scheduler.pool", priority)
             if deadline_s is not None:
@@ -163,9 +170,10 @@ class Service:
             if late.is_set():
                 raise DeadlineExceeded(f"longer than {deadline_s} s")
         except Exception as e:
-            self.counters.errors += 1
+            with self._lock:
+                self.counters.errors += 1
+                self.counters.deadlines += late.is_set()
             if late.is_set():
-                self.counters.deadlines += 1
                 raise DeadlineExceeded(f"longer than {deadline_s} s") from e
             raise
         finally:
@@ -174,7 +182,8 @@ class Service:
                 sc.setLocalProperty("spark.jobGroup.id", None)
             sc.setLocalProperty("spark.scheduler.pool", None)
             took = time.monotonic() - began
-            self.counters.seconds += took
-            if took >= self.SLOW_SECONDS:
-                self.counters.slow = [*self.counters.slow[-99:], (int(kind), took)]
+            with self._lock:
+                self.counters.seconds += took
+                if took >= self.SLOW_SECONDS:
+                    self.counters.slow = [*self.counters.slow[-99:], (int(kind), took)]
             self._pending.release()

@@ -16,7 +16,7 @@ VERSION_COLUMNS = ("commit_ts", "op")
 
 @dataclass
 class Table:
-    """handle is the column of the row key; a table without one is ordered by all its columns."""
+    """handle is the column of the row key; a table without one is ordered by all its columns. stored has the indexes that are tables of their own."""
 
     name: str
     df: DataFrame
@@ -24,6 +24,7 @@ class Table:
     indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
     version: int = 0
     versioned: bool = False
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:

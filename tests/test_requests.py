@@ -6,7 +6,7 @@ import pytest
 
 from brindle.functions.types import RequestError
 from brindle.plans.compiler import compile_request, merge_partials
-from brindle.plans.ir import Agg, AggType, IndexSpec, KeyRange, OrderBy, Request, col, const
+from brindle.plans.ir import Agg, AggType, IndexSpec, KeyRange, OrderBy, Request, call, col, const
 from brindle.service import DeadlineExceeded, Service, UnsupportedRequest
 from brindle.sources import scans
 from brindle.sources.catalog import Catalog
@@ -136,3 +136,53 @@ def test_deadline(people):
     people.register("slow", slow, "handle")
     with pytest.raises(DeadlineExceeded):
         Service(people).handle(1, Request("slow", aggregates=(Agg(AggType.SUM, col("age")),)), deadline_s=1.0)
+
+
+def test_group_bound(spark):
+    c = Catalog(spark)
+    c.register("t", spark.range(20).selectExpr("id", "id % 5 AS g"), "id")
+    r = lambda most: compile_request(Request("t", group_by=(col("g").named("g"),), aggregates=(Agg(AggType.COUNT, name="n"),), max_groups=most), c)
+    assert sorted(tuple(x) for x in r(5).collect()) == [(i, 4) for i in range(5)]
+    with pytest.raises(Exception, match="more than 4 groups"):
+        r(4).collect()
+
+
+def test_date_format_by_column(spark):
+    c = Catalog(spark)
+    c.register("t", spark.sql("SELECT 1 AS id, timestamp'2024-03-05 06:07:08' AS d, '%Y/%m' AS f UNION ALL SELECT 2, timestamp'2024-03-05 06:07:08', '%H:%i'"), "id")
+    out = compile_request(Request("t", projections=(call("DATE_FORMAT", col("d"), col("f")).named("x"),)), c).collect()
+    assert sorted(r.x for r in out) == ["06:07", "2024/03"]
+
+
+def test_stored_indexes(spark, tmp_path):
+    c = Catalog(spark)
+    rows = [(i, i % 3, i % 7 if i % 10 else None, f"v{i}") for i in range(60)]
+    t = c.register("t", spark.createDataFrame(rows, "id long, a long, b long, v string"), "id", {"ab": ("a", "b")})
+    ask = lambda lookup, *ranges, **more: [tuple(r) for r in compile_request(Request("t", index=IndexSpec("ab", lookup), columns=("a", "b", "id", *(("v",) if lookup else ())), ranges=ranges, **more), c).collect()]
+    ranges = [(), (KeyRange((0, 3), (1, 2)),), (KeyRange((1,), (2,)),), (KeyRange((2, 5), None), KeyRange(None, (0, 1))), (KeyRange(1, (1, 4)),)]
+    by = lambda r: (r[1], r[2] is not None, r[2] or 0, r[0])
+
+    def inside(r, ranges):
+        def fits(k):
+            low, high = (x if isinstance(x, tuple) or x is None else (x,) for x in (k.low, k.high))
+            own = (r[1], r[2])
+            if low and (own[0] < low[0] or len(low) > 1 and own[0] == low[0] and (own[1] is None or own[1] < low[1])):
+                return False
+            if high and (own[0] > high[0] or own[0] == high[0] and (len(high) == 1 or own[1] is None or own[1] >= high[1])):
+                return False
+            return True
+
+        return not ranges or any(fits(k) for k in ranges)
+
+    wants = [[(a, b, i, v) for i, a, b, v in sorted(rows, key=by) if inside((i, a, b), r)] for r in ranges]
+    for stored in (False, True):
+        if stored:
+            scans.store_index(t, "ab", f"{tmp_path}/ab")
+        for r, want in zip(ranges, wants):
+            assert ask(True, *r) == want
+            assert ask(False, *r) == [w[:3] for w in want]
+            assert ask(True, *r, limit=3) == want[:3]
+    plan = compile_request(Request("t", index=IndexSpec("ab"), columns=("a", "b"), ranges=(KeyRange(1, 2),)), c)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(a), GreaterThanOrEqual(a,1), LessThan(a,2)]" in plan
+    with pytest.raises(RequestError):
+        ask(False, KeyRange((1, 2, 3), None))

@@ -1,6 +1,7 @@
 """Snapshots, collection, transactions, the change feed, raw keys, backup, statistics."""
 
 import random
+import threading
 import zlib
 
 import pytest
@@ -141,14 +142,147 @@ def test_conflicts_inserts_and_locks(store):
     t.insert("k", "x")
     with pytest.raises(txn.AlreadyExists):
         t.commit()
-    a, b = store.begin(), store.begin()
+    a, b, c = store.begin(), store.begin(), store.begin()
     a.lock_for_update("k")
-    a.put("other", "1")
+    b.put("k", "b")
+    with pytest.raises(mvcc.KeyLocked):
+        b.commit()
+    with pytest.raises(mvcc.KeyLocked):
+        c.lock_for_update("k")
+    assert a.commit() is None and store.locks().count() == 0
+    a, b = store.begin(), store.begin()
     b.put("k", "b")
     b.commit()
     with pytest.raises(txn.WriteConflict):
-        a.commit()
-    assert pairs(store.snapshot().select(F.col("user_key").cast("string"), F.col("value").cast("string"))) == {"k": "b"}
+        a.lock_for_update("k")
+    a.rollback()
+    t = store.begin()  # a later write replaces an insert
+    t.insert("k", "x")
+    t.delete("k")
+    t.put("k", "a")
+    t.commit()
+    assert pairs(store.snapshot().select(F.col("user_key").cast("string"), F.col("value").cast("string"))) == {"k": "a"}
+
+
+def test_locks_and_rollback_records(store):
+    t = store.begin()
+    t.put("a", "1")
+    t.put("b", "2")
+    t.delete("c")
+    t.prewrite()
+    assert sorted((bytes(r.user_key), r.type, bytes(r.primary)) for r in store.scan_locks(t.start_ts).collect()) == [(b"a", "PUT", b"a"), (b"b", "PUT", b"a"), (b"c", "DELETE", b"a")]
+    assert store.resolved_ts() == t.start_ts - 1 and store.scan_locks(t.start_ts, b"b", b"c").count() == 1 and store.scan_locks(t.start_ts - 1).count() == 0
+    with pytest.raises(mvcc.KeyLocked):
+        store.snapshot()
+    with pytest.raises(mvcc.KeyLocked):
+        store.begin().get("a")
+    now = t.start_ts >> 18
+    assert store.status(t.start_ts, now) == (txn.Outcome.UNKNOWN, None) and store.cleanup(t.start_ts, now) == txn.Outcome.UNKNOWN
+    assert store.heartbeat(t.start_ts, 50_000) and store.status(t.start_ts, now + 40_000)[0] == txn.Outcome.UNKNOWN
+    assert store.resolve_expired(now) == 0 and store.resolve_expired(now + 60_000) == 1
+    assert store.status(t.start_ts) == (txn.Outcome.ROLLED_BACK, None) and store.locks().count() == 0
+    assert {(bytes(r.user_key), r.op, r.commit_ts) for r in mvcc.history(store.versions(), start_ts=t.start_ts).collect()} == {(k, "ROLLBACK", t.start_ts) for k in (b"a", b"b", b"c")}
+    store.resolve(t.start_ts, None)  # again: nothing happens
+    with pytest.raises(txn.RolledBack):
+        t.commit()
+    assert t.outcome == txn.Outcome.ROLLED_BACK and store.snapshot().count() == 0 and not store.heartbeat(t.start_ts, 1)
+
+    # a transaction whose driver died after its locks is committed by whoever knows its timestamp
+    t = store.begin()
+    t.put("a", "3")
+    t.prewrite()
+    ts = store.clock.next()
+    store.resolve(t.start_ts, ts)
+    store.resolve(t.start_ts, ts)
+    assert store.status(t.start_ts) == (txn.Outcome.COMMITTED, ts) and mvcc.history(store.versions(), start_ts=t.start_ts).count() == 1
+    with pytest.raises(txn.WriteConflict):
+        store.resolve(t.start_ts, None)
+    t = store.begin()
+    t.put("z", "1")
+    t.prewrite()
+    t.rollback()
+    assert store.status(t.start_ts)[0] == txn.Outcome.ROLLED_BACK and store.locks().count() == 0
+
+
+def test_garbage_collection_of_a_store(store):
+    def put(**kv_):
+        t = store.begin()
+        for k, v in kv_.items():
+            t.put(k, v) if v is not None else t.delete(k)
+        return t.commit()
+
+    put(a="1", b="1")
+    put(a="2", b=None)
+    safe = put(a="3", c="1")
+    last = put(a="4")
+    shown = lambda ts: pairs(store.snapshot(ts).select(F.col("user_key").cast("string"), F.col("value").cast("string")))
+    before = shown(safe), shown(last)
+    open_one = store.begin()
+    store.collect_garbage(safe)
+    assert (shown(safe), shown(last)) == before == ({"a": "3", "c": "1"}, {"a": "4", "c": "1"})
+    assert store.versions().count() == 4 and len(store.files.names(f"{store.path}/log")) == 1
+    with pytest.raises(mvcc.KeyLocked):
+        store.collect_garbage(store.clock.next())
+    open_one.rollback()
+    later = store.clock.next()
+    store.collect_garbage(later)
+    assert store.versions().count() == 3 and shown(later) == before[1]
+    put(a="5")
+    assert shown(store.clock.next()) == {"a": "5", "c": "1"}
+
+
+def test_concurrent_transfers_keep_the_total(store):
+    accounts = [f"acc{i}" for i in range(6)]
+    txn.with_retry(store, lambda t: [t.put(a, "1000") for a in accounts] and None)
+    done, errors = [], []
+
+    def worker(seed):
+        rng = random.Random(seed)
+        try:
+            for _ in range(2):
+                x, y = rng.sample(accounts, 2)
+
+                def move(t):
+                    a, b = int(t.get(x)), int(t.get(y))
+                    t.put(x, str(a - 10))
+                    t.put(y, str(b + 10))
+
+                txn.with_retry(store, move, tries=50, first_wait_s=0.01)
+                done.append(seed)
+        except Exception as e:  # noqa: BLE001, shown below
+            errors.append(e)
+
+    threads = [threading.Thread(target=worker, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and len(done) == 8
+    assert sum(int(bytes(r["value"])) for r in store.snapshot().collect()) == 6000
+    # each commit read what the one before it wrote
+    starts = [(r.start_ts, r.commit_ts, bytes(r.user_key)) for r in store.versions().collect()]
+    for a in starts:
+        assert not any(b is not a and b[2] == a[2] and a[0] < b[1] < a[1] for b in starts)
+
+
+def test_two_threads_on_one_key(store):
+    ts = [store.begin() for _ in range(2)]
+    out = []
+
+    def go(t):
+        t.put("k", str(t.start_ts))
+        try:
+            t.commit()
+            out.append("committed")
+        except txn.WriteConflict:
+            out.append("conflict")
+
+    threads = [threading.Thread(target=go, args=(t,)) for t in ts]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(out) == ["committed", "conflict"]
 
 
 def test_transfers_keep_the_total(store):
@@ -233,7 +367,9 @@ def test_backup(spark, tmp_path):
     m = backup.backup(df, folder)
     assert (m["total_kvs"], m["total_bytes"]) == (2, 3)
     assert sorted(map(tuple, backup.restore(spark, folder).collect())) == [("a", "1"), ("b", None)]
-    df.limit(1).write.mode("append").parquet(f"{folder}/data")
+    again = backup.backup(df.where("key = 'a'"), folder)
+    assert [tuple(r) for r in backup.restore(spark, folder).collect()] == [("a", "1")] and len(list(tmp_path.glob("b/data-*"))) == 1
+    df.limit(1).write.mode("append").parquet(f"{folder}/{again['data']}")
     with pytest.raises(backup.BackupDamaged):
         backup.restore(spark, folder)
 
@@ -247,6 +383,11 @@ def test_statistics(spark):
     p = df.select(F.col("s").alias("key"), F.col("k").cast("string").alias("value")).where("key is not null")
     assert stats.checksum(p).first() == stats.checksum(p.repartition(3)).first()
     assert stats.checksum(p.limit(0)).first()[1:] == (0, 0)
+    assert stats.approximate_size(p) > 0
+    locks = spark.createDataFrame([("k", "PUT", 5)], "user_key string, type string, start_ts long")
+    assert stats.checksum(p, locks=locks, read_ts=4).first() == stats.checksum(p).first()
+    with pytest.raises(mvcc.KeyLocked):
+        stats.checksum(p, locks=locks)
     few = spark.createDataFrame([("b", "2"), ("a", "1")], "key string, value string")
     assert stats.stream_checksum(few) == zlib.crc32(b"a1b2")
 
