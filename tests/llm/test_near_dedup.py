@@ -1,9 +1,7 @@
-import random
 import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from brindle.llm import near_dedup, textkernel
 from brindle.llm.near_dedup import NearDuplicates
@@ -70,34 +68,6 @@ def test_components_are_those_of_all_pairs(documents, prose, edited, p):
     assert result(documents(rows), p) == brute(rows, p.width)
 
 
-def family(prose, n):
-    """n texts of 11 out of 16 passages each: all share much, pairs with 10 in common are links."""
-    rng, passages = random.Random(n), [prose(7000 + i, 12) for i in range(16)]
-    return [(i, " ".join(passages[k] for k in sorted(rng.sample(range(16), 11)))) for i in range(n)]
-
-
-def test_a_family_of_related_texts_meets_less_than_all_pairs(spark, documents, prose):
-    met = {}
-
-    class Counting(Scratch):
-        def save(self, df, name="t"):
-            out = super().save(df, name)
-            if name == "met":
-                met[n] += out.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("o")).agg(F.coalesce(F.sum(F.expr("n * o")), F.lit(0))).first()[0]
-            if name == "split":
-                met[n] += out.count()
-            return out
-
-    p = NearDuplicates(width=4)
-    for n in (150, 600):
-        met[n] = 0
-        rows = family(prose, n)
-        got = near_dedup.near_duplicates(documents(rows), p, Counting(spark, "family")).collect()
-        if n == 150:
-            assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4))
-    assert met[600] < 2.7**2 * met[150], met
-
-
 def test_odd_rows(documents, prose):
     t = prose(1, 50)
     rows = [(5, t), (5, t), (3, t), (None, t), (8, None), (9, ""), (7, "a b c")]
