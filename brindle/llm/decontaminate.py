@@ -4,8 +4,7 @@ A text's words are its runs of letters and digits, lower-cased; its shingles are
 five words (a text of fewer words has its whole run as the only one). Items are
 partitioned by size. An item of n shingles must have 80 percent of them in a document; so
 among any floor(n / 5) + 1 of its shingles one is there. The item is posted under so many
-MinHash minima (its smallest shingle hashes, 24 at most: beyond that all are missed once
-in 10^16). Documents are searched shingle by shingle for these minima, but only for items
+MinHash minima (its smallest shingle hashes), so none can be missed. Documents are searched shingle by shingle for these minima, but only for items
 of size classes that they are long enough to contain, and hits are verified by exact
 containment of the item's whole shingle set.
 """
@@ -22,11 +21,10 @@ from .util import BROADCAST_ROWS, Scratch, semi_join
 
 @dataclass(frozen=True)
 class Settings:
-    """percent of an item's shingles that a document must hold; minima: the most that an item is posted under."""
+    """percent of an item's shingles that a document must hold."""
 
     width: int = 5
     percent: int = 80
-    minima: int = 24
 
 
 def words(text: Column) -> Column:
@@ -64,7 +62,7 @@ def contaminated(df: DataFrame, items: DataFrame, s: Settings = Settings(), scra
     widths = sorted(r.width for r in sets.select("width").distinct().collect())  # s.width numbers at most
     if not widths:
         return sets.select(F.lit(None).cast(df.schema[key].dataType).alias("doc_id"), "item_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("hits"), F.lit(0.0).alias("containment"))
-    many = F.least(F.expr(f"n - cast(ceil({s.percent} * n / 100) as long) + 1"), F.lit(s.minima))
+    many = F.expr(f"n - cast(ceil({s.percent} * n / 100) as long) + 1")
     minima = sets.select("item_id", "n", "size_class", F.explode(F.slice(F.array_sort("set"), F.lit(1), many.cast("int"))).alias("h"))
     # smallest size of a class: a document must have so many shingles to hold an item of it
     minima = scratch.save(minima.withColumn("least", F.expr(f"cast(ceil({s.percent} * shiftleft(1L, size_class) / 100) as long)")).select("h", "item_id", "least").distinct(), "minima")
@@ -82,7 +80,11 @@ def contaminated(df: DataFrame, items: DataFrame, s: Settings = Settings(), scra
 
 
 def clean(df: DataFrame, items: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
-    """The rows of df (doc_id, text) whose document holds no item; rows without doc_id or text stay."""
+    """The rows of df (doc_id, text) whose document holds no item.
+
+    Rows without doc_id or text, and empty texts, stay. Rows that repeat a doc_id go together:
+    all, if one of them holds an item. Empty tables are fine on either side.
+    """
     scratch = scratch or Scratch(df.sparkSession, "leaks")
     found = scratch.save(contaminated(df, items, s, scratch).select("doc_id").distinct(), "found")
     return df.join(found, "doc_id", "left_anti").select(*df.columns)

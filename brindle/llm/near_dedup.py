@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .util import Scratch, components, semi_join, small_batches
+from .util import Scratch, components, fresh, semi_join, small_batches
 
 
 LANES, LANE_BITS = 7, 9
@@ -257,19 +257,20 @@ def _repeats(signed: DataFrame) -> bool:
     return bool(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
 
 
-def _numbered(df: DataFrame, p: NearDuplicates, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(df with _row, a number of its own for each row; (_row, id, n_shingles, component) of the rows with a doc_id), both written."""
-    rows = scratch.save(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(df: DataFrame, p: NearDuplicates, scratch: Scratch) -> tuple[DataFrame, DataFrame, str]:
+    """(df with a number of its own for each row; (_row, id, n_shingles, component) of the rows with a doc_id, both written; the number's name in df)."""
+    row = fresh(df, "_row")
+    rows = scratch.save(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
     known = rows.where("doc_id is not null")
-    found = near_duplicates(known.select(F.col("_row").alias("doc_id"), "text"), p, scratch, unique=True)
-    ids = known.select("_row", F.col("doc_id").cast("long").alias("id"))
+    found = near_duplicates(known.select(F.col(row).alias("doc_id"), "text"), p, scratch, unique=True)
+    ids = known.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("id"))
     found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("component")).join(ids, "_row")
-    return rows, scratch.save(found, "judged")
+    return rows, scratch.save(found, "judged"), row
 
 
 def _by_row(df: DataFrame, signed: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
     """near_duplicates of rows that repeat a doc_id: links are sought between rows, components named by doc_id after that."""
-    _, found = _numbered(df.select("doc_id", "text"), p, scratch)
+    _, found, _ = _numbered(df.select("doc_id", "text"), p, scratch)
     names = found.groupBy("component").agg(F.min("id").alias("component_id"))
     out = found.join(names, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     return out.union(signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(False)))
@@ -282,11 +283,11 @@ def without_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scra
     Rows without doc_id are linked with nothing.
     """
     scratch = scratch or Scratch(df.sparkSession, "near")
-    rows, found = _numbered(df, p, scratch)
+    rows, found, row = _numbered(df, p, scratch)
     # texts without words have no links: of those only full repeats go
     same = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
-    blank = semi_join(rows, scratch.save(found.where("n_shingles = 0").select("_row"), "blank"), "_row").withColumn("nth", same).where("nth > 1").select("_row")
+    blank = semi_join(rows.select(F.col(row).alias("_row"), "doc_id", "text"), scratch.save(found.where("n_shingles = 0").select("_row"), "blank"), "_row").withColumn("nth", same).where("nth > 1").select("_row")
     heads = found.groupBy("component").agg(F.min(F.struct("id", "_row")).alias("head"), F.count("*").alias("n")).where("n > 1")
     gone = found.join(heads, "component").where("_row <> head._row").select("_row")
     gone = scratch.save(gone.union(blank), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*df.columns)
+    return rows.join(gone.withColumnRenamed("_row", row), row, "left_anti").select(*df.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .near_dedup import LANES, NearDuplicates, near_duplicates
-from .util import BROADCAST_ROWS, Scratch, number_rows
+from .util import BROADCAST_ROWS, Scratch, fresh, number_rows
 
 KEY = ["doc_id", "t"]
 LINE, RUN = 0, 1
@@ -329,9 +329,10 @@ def without_repeats(df: DataFrame, s: Settings = Settings(), scratch: Scratch |
     """
     scratch = scratch or Scratch(df.sparkSession, "substring")
     lists = _found(df, s, scratch)[0].where(F.exists("at", lambda x: x["removed"]))
-    lists = scratch.save(lists.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), F.col("at").alias("__at")), "cut")
-    same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    ids = lists.select("__doc", "__t")
+    doc, t, at = (fresh(df, x) for x in ("_cut_doc", "_cut_t", "_cut_at"))
+    lists = scratch.save(lists.select(F.col("doc_id").alias(doc), F.col("t").alias(t), F.col("at").alias(at)), "cut")
+    same = (F.col("doc_id") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
+    ids = lists.select(doc, t)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     names, place = df.columns, df.columns.index("text")
 
@@ -349,7 +350,7 @@ def without_repeats(df: DataFrame, s: Settings = Settings(), scratch: Scratch |
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(x.strip()) for x in out], pa.bool_()))
 
-    hit = df.join(ids, same, "left_semi").join(lists, same).select(*(df[c] for c in df.columns), "__at")
+    hit = df.join(ids, same, "left_semi").join(lists, same).select(*(df[c] for c in df.columns), at)
     out = hit.mapInArrow(tk.tidy(run), df.schema)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))

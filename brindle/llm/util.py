@@ -118,6 +118,14 @@ def _clean() -> None:
             return  # the session has ended; its folder is the cluster's to clear
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def semi_join(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of big whose key is in ids (a saved table of distinct keys): by broadcast if they are few, else shuffled."""
     few = ids.count() <= BROADCAST_ROWS

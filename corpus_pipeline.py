@@ -27,17 +27,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines of 20 words and passages of 50 words or more that repeat from all documents but the first; documents that lose everything go."""
+    """Cuts lines of 20 words and passages of 50 words or more that repeat from all documents but the first; documents that lose everything go.
+
+    Rows without doc_id or text, and empty texts, stay as they are.
+    """
     return substring.without_repeats(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 80 percent of a benchmark item."""
+    """Drops documents that hold 80 percent of a benchmark item; rows without doc_id or text, and empty ones, stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decodes): byte-level BPE ids of each text, and that they decode to its bytes."""
+    """(doc_id, n_tokens, ids, decodes): byte-level BPE ids of each text, and that they decode to its bytes; a null text is empty, rows that repeat are each encoded."""
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=("text",), check=True)
     return encoded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("decodes"))
 

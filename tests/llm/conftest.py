@@ -39,7 +39,7 @@ def documents(spark):
     def make(rows, clash=True):
         df = spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t)) for i, t in rows], DOCUMENTS)
         if clash:
-            for c in ("ids", "key", "score", "component", "part", "w", "h", "_key", "rep", "n", "class", "_cut", "at", "t", "rank", "begin", "first", "place", "_row", "_text", "id", "row", "__t"):
+            for c in ("ids", "key", "score", "component", "part", "w", "h", "_key", "rep", "n", "class", "_cut", "at", "t", "rank", "begin", "first", "place", "_row", "_text", "id", "row", "_cut_doc", "_cut_at"):
                 df = df.selectExpr("*", f"'x' AS {c}")
         return df
 

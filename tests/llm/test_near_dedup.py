@@ -132,6 +132,6 @@ def test_rows_go_and_not_ids(documents, prose, edited):
     rows = [(5, a), (5, b), (2, edited(a, 1, 2)), (6, c), (6, c), (6, edited(c, 1, 1)), (7, ""), (7, ""), (8, None), (8, None), (9, "")]
     df = documents(rows)
     out = near_dedup.without_duplicates(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {r._row for r in out.collect()} == {"x"}
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert len(got) == 6 and [x for x in got if x[0] != 6] == sorted([(2, rows[2][1]), (5, b), (7, ""), (8, None), (9, "")], key=str)
