@@ -50,9 +50,16 @@ def test_each_stage(spark, prose, edited, tmp_path, other):  # noqa: F811
 
     kept = [(i, t) for i, t in rows if i in want]
     cut = stage["repeated_paragraphs"](spark, table(spark, kept), sf)
-    gone = {k for k, v in test_substring.brute_lines(kept).items() if v[1]}
-    texts = {(i, "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)) for i, t in kept}
-    assert known(cut) == {x for x in texts if x[1].strip()} and cut.schema == docs.schema
+    texts = known(cut)
+    gone = test_substring.brute_runs(kept)[0]
+    for (d, n), (_, removed) in test_substring.brute_lines(kept).items():
+        if removed:
+            lines = dict(kept)[d].split("\n")
+            at = sum(len(x.split()) for x in lines[:n])
+            gone.setdefault(d, set()).update(range(at, at + len(lines[n].split())))
+    words = {(i, *(w for k, w in enumerate(t.split()) if k not in gone.get(i, ()))) for i, t in kept}
+    assert {(i, *t.split()) for i, t in texts} == {x for x in words if len(x) > 1} and cut.schema == docs.schema
+    assert all(x in texts for x in kept if x[0] not in gone)
 
     left = sorted(x for x in texts if x[1].strip())
     clean = stage["decontamination"](spark, table(spark, left), sf)
