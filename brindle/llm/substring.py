@@ -113,7 +113,8 @@ def _line_clusters(df: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     engine.drop(engine.path)
     several = scratch.save(found.where("id <> cluster").select("cluster").distinct(), "several")
     named = scratch.save(found.join(several, "cluster").join(parts.drop("text"), "id"), "named")
-    heads = named.groupBy("cluster").agg(F.min_by("id", F.struct(*KEY, "begin")).alias("head"), F.min("doc_id").alias("first"))
+    # written, so that a join with a large cluster can be split
+    heads = scratch.save(named.groupBy("cluster").agg(F.min_by("id", F.struct(*KEY, "begin")).alias("head"), F.min("doc_id").alias("first")), "heads")
     return named.join(heads, "cluster").select(*KEY, "begin", "end", (F.col("id") != F.col("head")).alias("removed"), "first")
 
 
