@@ -161,9 +161,9 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
     def prefixes(batches):
         for piece, values, begin in p.sets(batches):
             n = np.diff(begin)
-            count = np.zeros((len(n), 64 * BITMAP), np.int64)
-            np.add.at(count, (np.repeat(np.arange(len(n)), n), (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
-            bits = np.packbits((count & 1).astype(np.uint8), axis=1).view(np.int64)
+            parity = np.zeros((len(n), 64 * BITMAP), np.uint8)
+            np.bitwise_xor.at(parity, (np.repeat(np.arange(len(n)), n), (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
+            bits = np.packbits(parity, axis=1).view(np.int64)
             probe, index = (n - -(-x * n // y) + 1 for x, y in ((p.percent, 100), (2 * p.percent, 100 + p.percent)))
             rows = np.repeat(np.arange(len(n)), probe)
             r = np.arange(len(rows)) - np.repeat(np.cumsum(probe) - probe, probe)
