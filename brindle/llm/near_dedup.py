@@ -287,7 +287,8 @@ def without_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scra
     # texts without words have no links: of those only full repeats go
     same = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("_row"))
     blank = semi_join(rows.select(F.col(row).alias("_row"), "doc_id", "text"), scratch.save(found.where("n_shingles = 0").select("_row"), "blank"), "_row").withColumn("nth", same).where("nth > 1").select("_row")
-    heads = found.groupBy("component").agg(F.min(F.struct("id", "_row")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(heads, "component").where("_row <> head._row").select("_row")
+    # told by row and not by component, as a component may be large
+    heads = scratch.save(found.groupBy("component").agg(F.min(F.struct("id", "_row")).alias("head")).select("head._row"), "heads")
+    gone = found.join(heads, "_row", "left_anti").select("_row")
     gone = scratch.save(gone.union(blank), "gone")
     return rows.join(gone.withColumnRenamed("_row", row), row, "left_anti").select(*df.columns)
