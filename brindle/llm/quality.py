@@ -202,7 +202,11 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 
 def keep(df: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of df whose text scores least or more, with all their columns."""
+    """The rows of df whose text scores least or more, with all their columns, whatever their names.
+
+    A null text scores as an empty one; rows that repeat are each judged, alike, and a null
+    key doesn't matter; an empty df gives no rows.
+    """
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)

@@ -132,7 +132,8 @@ class Lexicon:
 def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings = Settings()) -> Lexicon:
     """Learns terms, weights and exceptions from labelled documents, as many as s bounds.
 
-    Without toxic rows the lexicon is empty, and every score is low.
+    Without toxic rows the lexicon is empty, and every score is low. Null keys and labels are
+    left out, a null text is an empty one; rows that repeat add no contexts.
     """
     ship(df.sparkSession)
     least = s.support

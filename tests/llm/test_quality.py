@@ -70,3 +70,34 @@ def test_samples_are_bounded(spark, documents):
 
     got = {r.doc_id: r.m for r in df.select("doc_id", remainder("doc_id", 3).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 for i in range(50)}
+
+
+def test_against_a_plain_solver():
+    """Class ratios counted one by one, and the dual problem solved by projected gradients."""
+    rng, s = np.random.default_rng(4), Settings(bits=6, epochs=3000)
+    y = np.array([0, 1] * 9)
+    rows = [np.unique(rng.integers(0, 40, 12) + 20 * c).astype(np.int32) for c in y]
+    counts = [[s.smoothing + sum(f in r for r, c in zip(rows, y) if c == k) for f in range(64)] for k in (0, 1)]
+    ratio = np.array([np.log(counts[1][f] / sum(counts[1])) - np.log(counts[0][f] / sum(counts[0])) for f in range(64)])
+    x = np.zeros((18, 64))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+    sign, cap = 2.0 * y - 1, s.cost * 0.5 / 0.5
+    signed = x * sign[:, None]
+    gram, alpha = signed @ signed.T, np.zeros(18)
+    for _ in range(50_000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, cap)
+    weights, slope, offset = quality.fit(rows, y, s)
+    assert np.abs(weights - (signed.T @ alpha) * ratio).max() < 1e-5
+    assert slope > 0 and np.isfinite(offset)
+
+
+def test_scores_are_sums_over_features(spark, documents, prose):
+    rows = [(i, prose(i, i * 7 % 60)) for i in range(30)] + [(90, None), (91, "A!! 7$ B!!")]
+    weights = np.random.default_rng(2).normal(size=1 << 10).astype(np.float32)
+    m = quality.Model(weights, 1.5, -0.25, 10)
+    got = {r.doc_id: r.score for r in quality.score(documents(rows), m).collect()}
+    for i, t in rows:
+        found, _ = features(*textkernel.column_bytes(pa.array([t or ""])), 10)
+        margin = sum(float(weights[f]) for f in found) / len(found) ** 0.5
+        assert abs(got[i] - 1 / (1 + np.exp(-(1.5 * margin - 0.25)))) < 1e-9

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from brindle.llm import sharding
 
@@ -42,3 +43,32 @@ def test_edges(documents):
         sharding.shard(documents([]), 0)
     df = sharding.shard(documents([(1, "a")]))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n, seed", [(1, 5), (7, 5), (65, -3), (1000, 2024)])
+def test_against_a_plain_permutation(spark, n, seed):
+    bits = 2
+    while 1 << bits < n:
+        bits += 1
+    low = bits // 2
+
+    def hashed(half, k):
+        h = 42
+        for number, size in ((half, 8), (seed, 8), (k, 4)):
+            h = xxhash.xxh64_intdigest(number.to_bytes(size, "little", signed=True), h)
+        return h
+
+    def once(x):
+        left, right = x >> low, x % (1 << low)
+        for k in range(4):
+            if k % 2:
+                right ^= hashed(left, k) % (1 << low)
+            else:
+                left ^= hashed(right, k) % (1 << (bits - low))
+        return left << low | right
+
+    for r in sharding.with_place(spark.range(n), "id", n, seed).collect():
+        want = once(r.id)
+        while want >= n:
+            want = once(want)
+        assert r.place == want

@@ -1,3 +1,4 @@
+import math
 import random
 
 from brindle.llm import toxicity
@@ -65,3 +66,54 @@ def test_without_labels(spark, documents):
     assert [r.score < 0.5 for r in toxicity.score(documents([(1, "a"), (2, None)]), m).collect()] == [True, True]
     m = toxicity.learn(documents([(1, "a")]), spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int"))
     assert toxicity.score(documents([(1, "a")]), m).count() == 1
+
+
+def plain_score(m, text):
+    """Every term tried at every place, without an automaton."""
+    folded = fold(text or "")
+    spared = [(b, b + len(p) + 2) for p in m.exceptions for b in range(len(folded)) if folded.startswith(f" {p} ", b)]
+    total, hits = 0.0, 0
+    for b in range(len(folded)):
+        here = [t for t in m.weights if folded.startswith(t, b)]
+        if here:
+            term = max(here, key=len)
+            if not any(s <= b and b + len(term) <= e for s, e in spared):
+                total, hits = total + m.weights[term], hits + 1
+    x = math.log(1 + 1000 * total / max(1, len(folded.split()))) if total else 0.0
+    return 1 / (1 + math.exp(-(m.slope * x + m.offset))), hits
+
+
+def test_against_a_plain_scorer(documents):
+    rng = random.Random(8)
+    words = ["grub", "grubs", "grim", "grimly", "Gr1mly", "good", "bad", "trash", "tr@sh", "тrash", "old", "x", "!!"]
+    m = Lexicon({" grub ": 2.0, " grim": 1.0, " grimly ": 3.5, " tras": 0.5, " old grub ": 4.0}, frozenset({"good grub", "old trash", "good old grub"}), 0.8, -3.0)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30)))) for i in range(300)] + [(900, None), (901, "")]
+    got = {r.doc_id: (r.score, r.hits) for r in toxicity.score(documents(rows), m).collect()}
+    for i, t in rows:
+        score, hits = plain_score(m, t)
+        assert got[i][1] == hits and abs(got[i][0] - score) < 1e-9
+    assert sum(h > 0 for _, h in got.values()) > 200
+
+
+def test_weights_against_plain_counts(spark, documents, prose):
+    rows, labels = corpus(prose, 400)
+    s = Settings(support=4, purity=0.6, evidence=0.0)
+    m = toxicity.learn(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), s=s)
+    seen = {0: {}, 1: {}}
+    for (_, text), (_, y) in zip(rows, labels):
+        words = fold(text).split()
+        for before, w in zip(["", *words], words):
+            for term in [f" {w} "] * (len(w) > 2) + [f" {w[:k]}" for k in (4, 5, 6) if len(w) > k]:
+                seen[y].setdefault(term, set()).add(before)
+    n = {k: sum(y == k for _, y in labels) for k in (0, 1)}
+    want = {}
+    for term in sorted(seen[1], key=lambda t: (len(t.rstrip()), t)):
+        p, q = len(seen[1][term]), len(seen[0].get(term, ()))
+        weight = math.log((p + 0.5) / (n[1] + 1) / ((q + 0.5) / (n[0] + 1)))
+        expected = p * n[0] / n[1]
+        surprise = expected - q + (q * math.log(q / expected) if q else 0)
+        pure = p / n[1] >= s.purity * (p / n[1] + q / n[0])
+        if p >= s.support and pure and surprise >= s.evidence and weight > 0 and not any(term.startswith(t) for t in want):
+            want[term] = weight
+    assert m.weights.keys() == want.keys() and len(want) > 3
+    assert all(abs(m.weights[t] - want[t]) < 1e-9 for t in want)
