@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_ROWS, Scratch, semi_join
+from .util import BROADCAST_ROWS, Scratch, fresh, semi_join
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,14 @@ def contaminated(df: DataFrame, items: DataFrame, s: Settings = Settings(), scra
 
 
 def clean(df: DataFrame, items: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
-    """The rows of df (doc_id, text) whose document holds no item.
+    """The rows of df (doc_id, text) whose text holds no item.
 
-    Rows without doc_id or text, and empty texts, stay. Rows that repeat a doc_id go together:
-    all, if one of them holds an item. Empty tables are fine on either side.
+    Rows without doc_id or text, and empty texts, stay. Rows that repeat a doc_id are judged
+    one by one, each by its own text. Empty tables are fine on either side.
     """
     scratch = scratch or Scratch(df.sparkSession, "leaks")
-    found = scratch.save(contaminated(df, items, s, scratch).select("doc_id").distinct(), "found")
-    return df.join(found, "doc_id", "left_anti").select(*df.columns)
+    doc, t = (fresh(df, x) for x in ("_doc", "_t"))
+    own = F.xxhash64(F.col("text").cast("string"))
+    rows = df.where(F.col("doc_id").isNotNull()).select(F.struct(F.col("doc_id").alias("doc"), own.alias("t")).alias("doc_id"), "text")
+    found = scratch.save(contaminated(rows, items, s, scratch).select(F.col("doc_id.doc").alias(doc), F.col("doc_id.t").alias(t)).distinct(), "found")
+    return df.join(found, (F.col("doc_id") == F.col(doc)) & (own == F.col(t)), "left_anti").select(*df.columns)

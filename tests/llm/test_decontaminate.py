@@ -48,6 +48,16 @@ def test_empty_tables(spark, documents, prose):
     assert decontaminate.clean(documents([(1, "x")]), none).count() == 1
 
 
+def test_rows_that_repeat_a_doc_id_are_judged_one_by_one(spark, documents, prose):
+    items = [(1, prose(1001, 30)), (2, prose(1002, 30))]
+    leak = f"{prose(5, 9)} {items[0][1]} {prose(6, 9)}"
+    docs = [(7, leak), (7, prose(7, 40)), (7, leak), (7, None), (7, ""), (8, prose(8, 40)), (8, prose(8, 40)), (None, leak), (None, None)]
+    left = decontaminate.clean(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
+    dirty = {t for _, t in docs if brute([(0, t)], items)}
+    want = [(d, t) for d, t in docs if d is None or t not in dirty]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str) and len(want) == 7
+
+
 def test_plan_is_native(spark, documents):
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert "Python" not in decontaminate.contaminated(documents([(1, "a b c d e f g")]), some)._jdf.queryExecution().executedPlan().toString()
