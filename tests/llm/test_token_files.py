@@ -1,9 +1,14 @@
 import glob
 import os
+import random
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
@@ -122,3 +127,57 @@ def test_empty(documents, tmp_path):
 def test_vocabulary_must_fit():
     with pytest.raises(ValueError):
         tokenfiles._encoding(tokenfiles.Settings(VOCABULARY, public_tokenizers.PATTERN, end_id=5))
+
+
+ODD = ["", "a", " ", "  ", "a  b", "a \n b\t\tc ", "one two ", "one two  ", "it's  'll x's", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b", "\x1c\x1d a\x85\xa0b", "日本語　 テキスト", "\n\n  x", "é́ " * 300, "word " * 700 + " end", None]
+
+
+def library():
+    """The library's encoding by the pattern as it is, without special tokens."""
+    ranks = tokenfiles._encoding(S)._mergeable_ranks
+    return tiktoken.Encoding("library", pat_str=S.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_plain_texts_have_the_same_ids(documents, tmp_path):
+    encode = library().encode_ordinary
+    every = [a + c + b for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) for a, b in (("a", "b"), ("a" + c, "b"), ("a ", "b"))]
+    rng = random.Random(4)
+    mixed = ["".join(rng.choices([" ", " ", "\n", "\t", "\x85", "\xa0", "\u2003", "\x1c", "a", "'s", "é", "1", "!", "<|endoftext|>"], k=rng.randrange(30))) for _ in range(5000)]
+    texts = pa.array([*every, *mixed, *ODD])
+    assert 0 < sum(tokenfiles._plain(texts)) < len(texts)
+    for text, made in zip(texts.to_pylist(), tokenfiles.column_sequences(texts, S)):
+        ids = encode(text or "")
+        assert made.reshape(-1).tolist() == ids + [S.end_id] * (made.size - len(ids)) and len(made) == len(ids) // S.length + 1, repr(text)
+    folder = f"file://{tmp_path}/odd"
+    index = tokenfiles.write(documents(list(enumerate(ODD))), folder, S).collect()
+    got = {i: [] for i in range(len(ODD))}
+    for r in sorted(index, key=lambda r: r.sequence):
+        got[r.doc_id] += tokenfiles.read(folder, r.shard, r.record, 1)[0, : r.n_tokens].tolist()
+    assert got == {i: [*encode(t or ""), S.end_id] for i, t in enumerate(ODD)}
+
+
+def test_another_pattern_is_left_alone():
+    for pattern in (r"\S+|\s", r"\w\|\s+(?!\S)|\s+"):
+        s = tokenfiles.Settings(VOCABULARY, pattern)
+        assert tokenfiles._encoding(s, True) is tokenfiles._encoding(s)
+
+
+def test_cost_of_encoding(prose):
+    texts = pa.array([prose(i, 400) for i in range(300)])
+    encode = library().encode_ordinary
+
+    def by_library():
+        for x in texts:
+            ids = encode(x.as_py())
+            np.full(len(ids), S.end_id, S.kind)[:] = ids
+
+    def cost(f):
+        def once():
+            begin = time.process_time()
+            f()
+            return time.process_time() - begin
+
+        return min(once() for _ in range(7))
+
+    # a pattern that looks ahead, a search for special tokens at every character or lists of ids would take all of that time
+    assert cost(lambda: tokenfiles.column_sequences(texts, S)) < 0.8 * cost(by_library)
