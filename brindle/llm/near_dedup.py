@@ -33,6 +33,8 @@ LANES, LANE_BITS = 7, 9
 BITMAP = 16  # numbers of 64 bits
 #: Pairs of whole texts that a worker holds.
 PAIRS_AT_ONCE = 64
+#: Shingles that are ranked by how many sets have them (2 MB in each worker), and how many of its earlier ones a posting carries.
+COMMON, EARLIER = 1 << 17, 8
 
 
 @dataclass(frozen=True)
@@ -141,15 +143,40 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: S
         return scratch.save(two.select("a", "b", "ta", "tb").mapInArrow(tk.tidy(run), "a long, b long"), "confirmed")
 
 
+def _rarity(counted: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(shingles that several sets of counted (s, f) have, sorted; the rank of each, rarest first; whether these are all).
+
+    Beyond COMMON of them it takes those over a count; the others all rank before these.
+    """
+    common = scratch.save(counted.where("f > 1").select("s", "f"), "common")
+    total, least = common.count(), 2
+    if total > COMMON:
+        room = COMMON
+        # one row for each count, so few of them
+        for f, k in sorted(((r["f"], r["count"]) for r in common.groupBy("f").count().collect()), reverse=True):
+            room -= k
+            if room < 0:
+                least = f + 1
+                break
+    got = common.where(f"f >= {least}").toArrow()
+    s = got["s"].to_numpy().view(np.uint64)
+    rank = np.empty(len(s), np.int64)
+    rank[np.lexsort((s, got["f"].to_numpy()))] = np.arange(1, len(s) + 1)
+    order = np.argsort(s)
+    return s[order], rank[order], least == 2
+
+
 def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, scratch: Scratch) -> DataFrame:
     """Pairs of different classes among members (doc_id, class, size, n), by an exact prefix join over their shingles.
 
     What a set shares with any other is at most m, its shingles that some other member has:
     sets with less than the bound in common with anything go first. The others are posted
-    under their smallest shingle hashes. Of an indexed set only the first n - ceil(2s/(1+s) n)
+    under their rarest shingles. Of an indexed set only the first n - ceil(2s/(1+s) n)
     + 1 can be the first one shared with an equal or larger set, of a probing set the first
-    n - ceil(s n) + 1. Pairs that meet must still pass the bounds from sizes, from m, and
-    from parity bitmaps: two sets differ in at least as many shingles as bits.
+    n - ceil(s n) + 1. Pairs that meet must still pass the bounds from sizes, from what is
+    left of both sets from that shingle on, and from parity bitmaps: two sets differ in at
+    least as many shingles as bits. A pair is made where it meets first: not under a shingle
+    if one of the last EARLIER before it is shared too.
     """
     own = scratch.save(texts.select("doc_id", "text").join(members, "doc_id"), "own")
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -158,36 +185,55 @@ def _long_list_pairs(members: DataFrame, texts: DataFrame, p: NearDuplicates, sc
         for piece, values, begin in p.sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(piece.column(0)), np.diff(begin))), pa.array(values.view(np.int64))], names=["doc_id", "s"])
 
+    # dealt evenly, as each text becomes as many rows as it has shingles
+    counted = own.select("doc_id", "text").repartition(tasks).mapInArrow(tk.tidy(all_shingles), "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id"))
+    common, ranks, every = _rarity(counted, scratch)
+
     def prefixes(batches):
         for piece, values, begin in p.sets(batches):
             n = np.diff(begin)
+            of = np.repeat(np.arange(len(n)), n)
             parity = np.zeros((len(n), 64 * BITMAP), np.uint8)
-            np.bitwise_xor.at(parity, (np.repeat(np.arange(len(n)), n), (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
+            np.bitwise_xor.at(parity, (of, (tk.mix(values) % np.uint64(64 * BITMAP)).astype(np.int64)), 1)
             bits = np.packbits(parity, axis=1).view(np.int64)
+            rank = np.zeros(len(values), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                rank = np.where(common[at] == values, ranks[at], 0)
+            values = values[np.argsort(of * (len(common) + 1) + rank, kind="stable")]
+            place = np.arange(len(values)) - begin[:-1][of]
+            # shingles that no other set has come first, and are not posted
+            alone = np.bincount(of[rank == 0], minlength=len(n)) if every else np.asarray(piece.column(piece.schema.get_field_index("u")))
+            skip = alone if every else np.zeros_like(n)
             probe, index = (n - -(-x * n // y) + 1 for x, y in ((p.percent, 100), (2 * p.percent, 100 + p.percent)))
-            rows = np.repeat(np.arange(len(n)), probe)
-            r = np.arange(len(rows)) - np.repeat(np.cumsum(probe) - probe, probe)
-            columns = [c.take(pa.array(rows)) for c in piece.select(["doc_id", "class", "size", "m"]).columns]
-            more = [n[rows], values[begin[:-1][rows] + r].view(np.int64), *(bits[rows, i] for i in range(BITMAP))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(r < index[rows]), *map(pa.array, more)], names=names)
-
-    # dealt evenly, as each text becomes as many rows as it has shingles
-    alone = own.select("doc_id", "text").repartition(tasks).mapInArrow(tk.tidy(all_shingles), "doc_id long, s long").groupBy("s").agg(F.count("*").alias("f"), F.min("doc_id").alias("doc_id")).where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
-    known = own.join(scratch.save(alone, "alone"), "doc_id", "left")
-    known = known.withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * m >= {p.percent} * n")
-    names = ["doc_id", "class", "size", "m", "index", "n", "s", *(f"p{i}" for i in range(BITMAP))]
-    kinds = "doc_id long, class long, size long, m long, index boolean, n long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP))
-    rows = scratch.save(known.select("doc_id", "text", "class", "size", "m").repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
+            rows = np.flatnonzero((place >= skip[of]) & (place < probe[of]) & (100 * (n - alone) >= p.percent * n)[of])
+            doc, place = of[rows], place[rows]
+            back = np.minimum(place - skip[doc], EARLIER)
+            ends = np.concatenate(([0], np.cumsum(back)))
+            earlier = np.repeat(rows - back - ends[:-1], back) + np.arange(ends[-1])
+            before = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[earlier].view(np.int64)))
+            columns = [c.take(pa.array(doc)) for c in piece.select(["doc_id", "class", "size"]).columns]
+            more = [place < index[doc], n[doc], np.minimum((n - alone)[doc], n[doc] - place), values[rows].view(np.int64), *(bits[doc, i] for i in range(BITMAP))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, more), before], names=names)
+
+    known = own.select("doc_id", "text", "class", "size")
+    if not every:
+        unique = counted.where("f = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
+        known = known.join(scratch.save(unique, "alone"), "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    names = ["doc_id", "class", "size", "index", "n", "rest", "s", *(f"p{i}" for i in range(BITMAP)), "before"]
+    kinds = "doc_id long, class long, size long, index boolean, n long, rest long, s long, " + ", ".join(f"p{i} long" for i in range(BITMAP)) + ", before array<long>"
+    rows = scratch.save(known.repartition(tasks).mapInArrow(tk.tidy(prefixes), kinds), "rows")
     largest = rows.groupBy("s").agg(F.max(F.struct("size", "class")).alias("top"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
     largest = scratch.save(largest.select("s", F.col("top.class").alias("top")), "largest")
     rows = scratch.save(rows.join(largest, "s").withColumn("outside", F.col("class") != F.col("top")), "met")
-    sizes = f"(a.n > b.n or a.n = b.n and a.doc_id <> b.doc_id) and 100 * b.n >= {p.percent} * a.n"
+    scratch.drop_named("own", "common", "alone", "rows", "largest")
+    sizes = f"(a.n > b.n or a.n = b.n and a.doc_id > b.doc_id) and 100 * b.n >= {p.percent} * a.n"
     apart = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(BITMAP))
     near = f"{100 + p.percent} * ({apart}) <= {100 - p.percent} * (a.n + b.n)"
-    cond = F.expr(f"a.s = b.s and a.class <> b.class and {sizes}") & _fits(p, "least(a.m, b.m)", "a.n", "b.n") & F.expr(near)
+    cond = F.expr(f"a.s = b.s and a.class <> b.class and {sizes}") & _fits(p, "least(a.rest, b.rest)", "a.n", "b.n") & F.expr(near) & F.expr("not arrays_overlap(a.before, b.before)")
     index = rows.where("index")
     pairs = [x.alias("a").join(y.alias("b"), cond).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")) for x, y in ((rows.where("outside"), index), (rows.where("not outside"), index.where("outside")))]
-    return pairs[0].union(pairs[1]).distinct()
+    return pairs[0].union(pairs[1])
 
 
 def near_duplicates(df: DataFrame, p: NearDuplicates = NearDuplicates(), scratch: Scratch | None = None, unique: bool = False) -> DataFrame:

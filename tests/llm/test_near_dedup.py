@@ -135,3 +135,35 @@ def test_rows_go_and_not_ids(documents, prose, edited):
     assert out.columns == df.columns and {r._row for r in out.collect()} == {"x"}
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert len(got) == 6 and [x for x in got if x[0] != 6] == sorted([(2, rows[2][1]), (5, b), (7, ""), (8, None), (9, "")], key=str)
+
+
+def rows_joined(df, key):
+    """Rows that the joins on key made when df ran."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if "Join" in kind and node.leftKeys().apply(0).toString().startswith(f"{key}#"):
+            out += node.metrics().apply("numOutputRows").value()
+        if kind == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in kind:
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("common", [1 << 17, 200, 0])
+def test_long_lists_make_each_pair_once(spark, prose, edited, monkeypatch, common):
+    monkeypatch.setattr(near_dedup, "COMMON", common)
+    base, p = prose(1, 160), NearDuplicates()
+    texts = [(100 + s, edited(base, s, 1 + s % 4)) for s in range(120)] + [(900, base), (901, prose(2, 150))]
+    sets = {i: shingle_set(t, p.width) for i, t in texts}
+    group = lambda i: 0 if i % 3 else i  # noqa: E731  one class of many, and others of one
+    size = sum(not group(i) for i in sets)
+    members = spark.createDataFrame([(i, group(i), 1 if group(i) else size, len(s)) for i, s in sets.items()], "doc_id long, class long, size long, n long")
+    found = near_dedup._long_list_pairs(members, spark.createDataFrame(texts, "doc_id long, text string"), p, Scratch(spark, "test"))
+    got = [(r.a, r.b) for r in found.collect()]
+    links = {(i, j) for i in sets for j in sets if i < j and group(i) != group(j) and 100 * len(sets[i] & sets[j]) >= p.percent * len(sets[i] | sets[j])}
+    assert len(links) > 100 and links <= set(got)
+    assert len(got) == len(set(got)) == rows_joined(found, "s")
